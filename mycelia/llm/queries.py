@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .packing import op1_best_fit_packing
 from .quality_rules import OP4_ABLATION_SQL, OP4_SQL, op4_quality_rules, op4_rule_ablation
+from .token_orc import op5_token_orc
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_orc": op5_token_orc,
     "quality_rule_ablation": op4_rule_ablation,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "quality_rule_ablation": OP4_ABLATION_SQL}
