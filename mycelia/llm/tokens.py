@@ -121,16 +121,18 @@ BATCH_CHARS = 4_000_000
 
 
 def batches(batch, text: int, chars: int = BATCH_CHARS):
-    """Slices of an Arrow record batch with the texts in them (null: empty), each of about so many bytes; a longer text is alone."""
+    """Slices of an Arrow record batch with the texts or bytes in them (null: empty), each of about so many bytes; a longer text is alone."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
+    empty = b"" if pa.types.is_binary(batch.schema.types[text]) or pa.types.is_large_binary(batch.schema.types[text]) else ""
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + chars, "right")))
         part = batch.slice(start, stop - start)
-        yield part, [t or "" for t in part.column(text).to_pylist()]
+        yield part, [t or empty for t in part.column(text).to_pylist()]
         start = stop
 
 
