@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .langid import op3_language_id
 from .packing import op1_best_fit_packing
+from .piece_sampling import op7_piece_sampling
 from .pii import op9_pii
 from .quality_rules import OP4_ABLATION_SQL, OP4_SQL, op4_quality_rules, op4_rule_ablation
 from .simhash import op6_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_orc": op5_token_orc,
     "op6_simhash": op6_simhash,
+    "op7_piece_sampling": op7_piece_sampling,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "quality_rule_ablation": op4_rule_ablation,
