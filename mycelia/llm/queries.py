@@ -8,6 +8,7 @@ from .packing import op1_best_fit_packing
 from .piece_sampling import op7_piece_sampling
 from .pii import op9_pii
 from .quality_rules import OP4_ABLATION_SQL, OP4_SQL, op4_quality_rules, op4_rule_ablation
+from .repeats import op10_repeats
 from .simhash import op6_simhash
 from .token_orc import op5_token_orc
 from .toxicity import op8_toxicity
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_piece_sampling": op7_piece_sampling,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
+    "op10_repeats": op10_repeats,
     "quality_rule_ablation": op4_rule_ablation,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "quality_rule_ablation": OP4_ABLATION_SQL}
