@@ -47,4 +47,4 @@ def bounded_ids(ids: DataFrame) -> DataFrame:
 
 def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of df whose key is not in ids. A null key is never in ids."""
-    return df.join(bounded_ids(ids), key, "left_anti")
+    return df.join(bounded_ids(ids.select(key).checkpoint()), key, "left_anti")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, without_ids
+from .common import documents
 from .langid import Adam, fold, hashed_share
 from .tokens import batches
 
@@ -323,8 +323,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fitted(docs, labels))
 
 
+def _clean(net: Net, place: int, threshold: float):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        own = Scorer(net)
+        for batch in rows:
+            for some, texts in batches(batch, place):
+                yield some.filter(pa.array(own.scores(texts) < threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs that score under the threshold, with all their columns."""
+    return docs.mapInArrow(_clean(net, docs.columns.index(text_col), threshold), docs.schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a score of THRESHOLD or more go. Rows without a doc_id stay."""
-    net = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = score(docs, net).filter("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return without_ids(docs, rejected.checkpoint())
+    """Pipeline stage: documents with a score of THRESHOLD or more go."""
+    return without_toxic(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
