@@ -1 +1 @@
-""""""
+"""Scalar functions and parsing."""

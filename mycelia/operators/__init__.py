@@ -1 +1 @@
-""""""
+"""Operators on edges, vertices and labels."""

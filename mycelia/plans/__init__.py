@@ -1 +1 @@
-""""""
+"""Whole computations made of operators."""

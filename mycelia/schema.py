@@ -1,0 +1,12 @@
+"""Column types of the tables that operators exchange. Ids are 64-bit: Spark has no unsigned types."""
+
+from __future__ import annotations
+
+VERTICES = "id BIGINT"
+EDGES = "src BIGINT, dst BIGINT"
+LABELS = "id BIGINT, component BIGINT"
+BOUNDS = "part INT, v_start BIGINT, v_end BIGINT"
+BOUNDARY = "part INT, rep BIGINT, remote BIGINT"
+GHOSTS = "part INT, gidx BIGINT, vertex BIGINT"
+PLAN = "part INT, peer INT, pos BIGINT, vertex BIGINT"
+TIMINGS = "graph STRING, chunk INT, exchange INT, run INT, seconds DOUBLE"

@@ -1 +1 @@
-""""""
+"""Where graphs and results come from and go to."""

@@ -1 +1 @@
-""""""
+"""Components of a graph whose edges arrive over time."""
