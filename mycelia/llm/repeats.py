@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, remove, scratch
+from .common import documents, scratch
 from .tokens import batches
 
-LENGTH, K = 200, 72
+LENGTH, K = 200, 40
 #: Different pieces of an anchor up to which they are compared as one collection: about 16 MB.
 COLLECTION = 50_000
 #: Bytes handled at once; longer texts are handled in parts that overlap.
@@ -123,14 +123,18 @@ def _blocks(batch: pa.RecordBatch, column: int, length: int):
 
 
 def _anchor_hashes(length: int, k: int):
+    """For each anchor of a block: how often it occurs there, and the smallest and, if another, the largest hash of its pieces."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for _, _, _, data, ends in _blocks(batch, 2, length):
-                h = pieces(data, ends, length, k)[4]
-                # of a hash that the block has twice, two rows say all
-                h.sort()
-                third = np.concatenate([np.zeros(min(2, len(h)), bool), (h[2:] == h[1:-1]) & (h[2:] == h[:-2])])
-                yield pa.RecordBatch.from_arrays([pa.array(h[~third])], ["h"])
+                h, ph = pieces(data, ends, length, k)[4:]
+                order = np.lexsort((ph, h))
+                h, ph = h[order], ph[order]
+                cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+                n = np.diff(np.append(cuts, len(h)))
+                low, high = ph[cuts], ph[cuts + n - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(h[cuts]), pa.array(n), pa.array(low), pa.array(high, mask=low == high)], ["h", "n", "low", "high"])
 
     return run
 
@@ -143,7 +147,6 @@ def _bitmap(bits: int):
     """One row of places in the filter: those that any hash of the partition sets, by word of 64."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, int] = {}
         mask = np.zeros(bits // 8, np.uint8)
         for batch in rows:
             at = _bits(batch.column(0).to_numpy(zero_copy_only=False), bits)
@@ -155,22 +158,40 @@ def _bitmap(bits: int):
     return run
 
 
-def _candidates(length: int, k: int, bits: int, mask):
+def _filter(anchors: DataFrame, n: int, limit: int = MAX_BITS) -> np.ndarray:
+    """Bits that the hashes set, as bytes; at most `limit` of them, which is what comes to the driver."""
+    bits = 1 << 16
+    while bits < limit and bits < 16 * n:
+        bits *= 2
+    mask = np.zeros(bits // 64, "<i8")
+    words = anchors.coalesce(max(1, min(8, n // 100_000))).mapInArrow(_bitmap(bits), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    for row in words.toLocalIterator():
+        mask[row["place"]] = row["bits"]
+    return mask.view(np.uint8)
+
+
+def _in_filter(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    place = _bits(h, 8 * len(mask))
+    return (mask[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _candidates(length: int, k: int, repeated, mixed):
+    """Pieces whose anchor may be in the filter `repeated`. Their bytes come along, once a block, if it may be in `mixed`."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for some, row, offset, data, ends in _blocks(batch, 2, length):
                 text, start, strings, at, h, ph = pieces(data, ends, length, k)
-                place = _bits(h, bits)
-                hit = np.flatnonzero(mask.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(_in_filter(h, repeated.value))
                 if not len(hit):
                     continue
                 text, start, strings, at, h, ph = (x[hit] for x in (text, start, strings, at, h, ph))
                 # a piece's bytes go with its first occurrence in the block
-                pair = np.stack([h, ph], axis=1)
-                _, firsts = np.unique(pair, axis=0, return_index=True)
+                asked = np.flatnonzero(_in_filter(h, mixed.value))
+                _, firsts = np.unique(np.stack([h[asked], ph[asked]], axis=1), axis=0, return_index=True)
                 content: list[bytes | None] = [None] * len(hit)
                 raw = data.tobytes()
-                for i in firsts.tolist():
+                for i in asked[firsts].tolist():
                     content[i] = raw[start[i] : start[i] + strings[i] + length - 1]
                 own = pa.array(row[text])
                 begin = np.concatenate([[0], ends])[text]
@@ -275,12 +296,17 @@ def _remaining(texts: list[bytes], spans: list[list[tuple[int, int]]]):
     return removed, runs, left
 
 
-def _removed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for some, texts in batches(batch, 1):
-            spans = [[(x["a"], x["b"]) for x in own or ()] for own in some.column(2).to_pylist()]
-            removed, runs, left = _remaining(texts, spans)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left]), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _removed(with_text: bool):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for some, texts in batches(batch, 1):
+                spans = [[(x["a"], x["b"]) for x in own or ()] for own in some.column(2).to_pylist()]
+                removed, runs, left = _remaining(texts, spans)
+                columns = [some.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(left, pa.binary())] if with_text else columns, [*names, "kept"] if with_text else names)
+
+    return run
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -294,31 +320,25 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str
         raise ValueError("k must be from 1 to length")
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col).filter(F.octet_length("text") >= length)
-    hashes = texts.mapInArrow(_anchor_hashes(length, k), "h long")
-    repeated = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h").checkpoint()
-    bits = 1 << 16
-    n = repeated.count()
-    while bits < MAX_BITS and bits < 16 * n:
-        bits *= 2
-    mask = np.zeros(bits // 64, "<i8")
-    for row in repeated.coalesce(max(1, min(8, n // 100_000))).mapInArrow(_bitmap(bits), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        mask[row["place"]] = row["bits"]
-    shared = spark.sparkContext.broadcast(mask.view(np.uint8))
+    anchors = texts.mapInArrow(_anchor_hashes(length, k), "h long, n long, low long, high long")
+    repeated = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high")).filter("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed")).checkpoint()
+    n_mixed, n_repeated = repeated.agg(F.count_if("mixed"), F.count(F.lit(1))).first()
+    filters = [spark.sparkContext.broadcast(_filter(x.select("h"), n)) for x, n in ((repeated, n_repeated), (repeated.filter("mixed"), n_mixed))]
     path = scratch(spark, "pieces")
     schema = "doc_id long, text_hash long, start long, strings int, at int, h long, ph long, content binary"
-    texts.mapInArrow(_candidates(length, k, bits, shared), schema).write.option("compression", "zstd").parquet(path)
+    texts.mapInArrow(_candidates(length, k, *filters), schema).write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(schema).parquet(path)
-    counts = found.groupBy("h", "ph").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    several = counts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").checkpoint()
-    equal = counts.filter("n > 1").select("h", "ph", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    equal = found.groupBy("h", "ph").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "ph", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
     some = found.filter("content IS NOT NULL").groupBy("h", "ph").agg(F.first("strings").alias("strings"), F.first("at").alias("at"), F.first("content").alias("content"))
-    mixed = some.join(several, "h")
-    close = mixed.filter(F.col("kinds") <= collection).select("h", "ph", "strings", "at", "content").repartition("h").sortWithinPartitions("h", "ph").mapInArrow(_compared(length, k), "h long, ph long, low int, high int")
-    results = equal.unionByName(close)
-    if not several.filter(F.col("kinds") > collection).isEmpty():
-        results = results.unionByName(_by_digest(mixed.filter(F.col("kinds") > collection), length))
+    # a few anchors that only the filter's chance lets through are collections of one piece
+    kinds = some.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    large = kinds.filter(F.col("kinds") > collection).checkpoint()
+    close = some if large.isEmpty() else some.join(large, "h", "left_anti")
+    results = equal.unionByName(close.repartition("h").sortWithinPartitions("h", "ph").mapInArrow(_compared(length, k), "h long, ph long, low int, high int"))
+    if not large.isEmpty():
+        results = results.unionByName(_by_digest(some.join(large, "h", "left_semi"), length))
     # equal pieces are covered whole
-    results = results.groupBy("h", "ph").agg(F.min(F.coalesce("low", F.lit(0))).alias("low"), F.max(F.coalesce("high", F.lit(1 << 30))).alias("high"))
+    results = results.groupBy("h", "ph").agg(F.min(F.coalesce("low", F.lit(0))).alias("low"), F.max(F.coalesce("high", F.lit(1 << 30))).alias("high")).checkpoint()
     last = F.least("high", F.col("strings") - 1)
     return found.select("doc_id", "text_hash", "start", "strings", "h", "ph").join(results, ["h", "ph"]).select("doc_id", "text_hash", (F.col("start") + F.col("low")).alias("a"), (F.col("start") + last + length).alias("b"))
 
@@ -330,14 +350,14 @@ def _by_digest(pieces_: DataFrame, length: int) -> DataFrame:
     return single.join(twice, ["h", "d"]).groupBy("h", "ph").agg(F.min("i").alias("low"), F.max("i").alias("high"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, with_text: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left)."""
     spans = repeat_spans(docs, length, k, id_col, text_col, collection).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     texts = _texts(docs, id_col, text_col)
     keyed = texts.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("text_hash", "__text_hash")
     joined = keyed.join(spans, F.col("__doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__text_hash") == F.col("text_hash")), "left")
-    return joined.select(F.col("__doc_id").alias("doc_id"), "text", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.select(F.col("__doc_id").alias("doc_id"), "text", "spans").mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return remove_repeats(documents(spark, sf_dir), with_text=False)
