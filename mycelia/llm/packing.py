@@ -63,7 +63,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -88,14 +88,19 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+#: An exchange is looked for with so many of the bins that have the most room.
+REACH = 48
+#: Steps of the search, as a multiple of the underfull bins that it begins with.
+EFFORT = 4
+
+
 def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Fewer bins, by moves and exchanges between underfull ones that raise the sum of squared fills."""
     bins = [b for b in bins if b]
     fewest = -(-sum(lengths) // capacity)
     fill = [sum(lengths[k] for k in b) for b in bins]
-    under = [(fill[b], b) for b in range(len(bins)) if fill[b] < capacity]
-    under.sort()
-    left = len(bins)
+    under = sorted((fill[b], b) for b in range(len(bins)) if fill[b] < capacity)
+    left, steps = len(bins), EFFORT * len(under)
 
     def change(low: int, high: int, out: list[int], back: list[int]) -> None:
         """Items `out` of bin low go to bin high and `back` come from there."""
@@ -110,48 +115,48 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> li
             if 0 < fill[b] < capacity:
                 insort(under, (fill[b], b))
 
-    def improve(low: int) -> bool:
-        """One step that raises the squared fill: bin low loses d ids to a bin at least as full that has room for them."""
-        items = sorted(bins[low], key=lambda k: -lengths[k])
+    def move(place: int) -> bool:
+        """The largest item of the bin that fits goes to the fullest other bin that has room for it."""
+        low = under[place][1]
+        for k in sorted(bins[low], key=lambda k: -lengths[k]):
+            other = bisect_left(under, (capacity - lengths[k] + 1, -1)) - 1
+            if other > place:
+                change(low, under[other][1], [k], [])
+                return True
+        return False
+
+    def exchange(place: int) -> bool:
+        """The exchange that takes most from the bin, to one at least as full: one or two of its items for one, or one for two."""
+        low = under[place][1]
+        items = bins[low]
         singles = {lengths[k]: [k] for k in items}
         pairs = {lengths[a] + lengths[b]: [a, b] for i, a in enumerate(items) for b in items[i + 1 :]}
-        for _, high in reversed(under):
-            room = capacity - fill[high]
-            if high == low:
-                continue
-            for size in sorted(singles, reverse=True):
-                if size <= room:
-                    change(low, high, singles[size], [])
-                    return True
+        best: tuple[int, int, list[int], list[int]] = 0, 0, [], []
+        for at, high in under[place + 1 : place + 1 + REACH]:
+            room = capacity - at
+            if room <= best[0]:
+                break
             theirs = sorted({lengths[k]: k for k in bins[high]}.items())
-            sizes = [s for s, _ in theirs]
-            best: tuple[int, list[int], list[int]] | None = None
-            for mine in (singles, pairs):  # one or two of low's for one of high's
+            two = [(a + b, [j, k]) for i, (a, j) in enumerate(theirs) for b, k in theirs[i + 1 :]]
+            for mine, given in ((singles, [(s, [k]) for s, k in theirs]), (pairs, [(s, [k]) for s, k in theirs]), (singles, sorted(two))):
+                sizes = [s for s, _ in given]
                 for size, out in mine.items():
                     j = bisect_left(sizes, size - room)
-                    if j < len(sizes) and 0 < size - sizes[j] <= room and (not best or size - sizes[j] > best[0]):
-                        best = size - sizes[j], out, [theirs[j][1]]
-            if not best:  # one of low's for two of high's
-                for size, out in singles.items():
-                    for i, (s, k) in enumerate(theirs):
-                        j = bisect_left(sizes, size - room - s, i + 1)
-                        if j < len(sizes) and 0 < size - s - sizes[j] <= room and (not best or size - s - sizes[j] > best[0]):
-                            best = size - s - sizes[j], out, [k, theirs[j][1]]
-            if best:
-                change(low, high, best[1], best[2])
-                return True
-        return False
-
-    skip = 0  # the emptiest bins that nothing helps
-    while left > fewest and skip < len(under):
-        fill_low, low = under[skip]
-        if capacity * (len(under) - 1) - sum(f for f, _ in under) + fill_low < fill_low:
-            break  # the others have no room for it in all
-        if improve(low):
-            skip = 0
+                    if j < len(sizes) and size - sizes[j] > best[0]:
+                        best = size - sizes[j], high, out, given[j][1]
+        if best[0]:
+            change(low, best[1], best[2], best[3])
+        return best[0] > 0
+
+    place = 0  # the emptiest bins, one after the other; back to the first after each success
+    while left > fewest and place < len(under) - 1 and steps:
+        steps -= 1
+        low = under[place][1]
+        if move(place) or exchange(place):
+            place = 0
             left -= fill[low] == 0
         else:
-            skip += 1
+            place += 1
     return [b for b in bins if b]
 
 

@@ -53,7 +53,7 @@ def _encode(tokenizer: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000) -> None:
     """Encode and write all documents. The number of files is that of the session's shuffle partitions, or fewer if they are small."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = rows.mapInArrow(_encode(tokenizer, end_id), ROWS)
     encoded.write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(row_index_stride)).option("orc.create.index", "true").orc(path)
 

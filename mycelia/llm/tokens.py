@@ -3,8 +3,9 @@
 Pre-tokenisation never joins text across some places (before a single space,
 around a single line end), so a text's ids are those of its pieces put
 together. The pieces' ids come from the library and are kept in a bounded
-cache per Python worker. A text with characters or white space for which that
-isn't plain is given to the library whole.
+cache per Python worker. Plain texts are split and looked up with array
+operations, others piece by piece, and a text with characters whose classes
+depend on the version of Unicode is given to the library whole.
 
 Strings of special tokens in a text are ordinary text.
 """
@@ -20,7 +21,7 @@ from array import array
 import numpy as np
 
 #: Pieces kept in each generation of each of a worker's two caches, about 200 bytes each.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 #: Longer pieces are kept for one generation only.
 CACHE_LENGTH = 64
 
@@ -53,7 +54,7 @@ class Recent:
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as bytes, unsigned 32-bit little-endian."""
+    """encode(texts) gives each text's ids as bytes, unsigned 32-bit little-endian. Texts are split by WordTable if it can, else by the regular expression."""
 
     def __init__(self, path: str):
         import regex
@@ -72,6 +73,7 @@ class Encoder:
             self.kind, self.split = "spaced", regex.compile(_GPT2).findall
         elif steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and not splits[1]["use_regex"]:
             self.kind, self.split = "lowered", regex.compile(splits[0]["pattern"]["Regex"]).findall
+        self.table = WordTable(self.kind == "lowered")
         self.chunks, self.words = Recent(CACHE_PIECES), Recent(CACHE_PIECES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -100,8 +102,7 @@ class Encoder:
                 return parts
         return self.split(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Hand in a few MB at a time: all different chunks of the texts are held at once."""
+    def _uncommon(self, texts: list[str]) -> list[bytes]:
         parts = [self._chunks(text) for text in texts]
         whole = iter(self._library([t for t, p in zip(texts, parts, strict=True) if p is None]))
         get = self.chunks.young.get
@@ -115,6 +116,190 @@ class Encoder:
         self.words.age()
         return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """texts: UTF-8. Hand in a few MB at a time: all different pieces of the texts are held at once."""
+        out: list[bytes | None] = [None] * len(texts)
+        common = np.zeros(len(texts), bool) if self.kind == "library" else self.table.common(texts)
+        rare = np.flatnonzero(~common).tolist()
+        for k, ids in zip(rare, self._uncommon([texts[k].decode("utf-8", "replace") for k in rare]), strict=True):
+            out[k] = ids
+        often = np.flatnonzero(common).tolist()
+        if often:
+            for k, ids in zip(often, self.table.encode([texts[k] for k in often], self._library), strict=True):
+                out[k] = ids
+        return out
+
+
+LETTER, DIGIT, SIGN, SPACE, LINE, ODD = 1, 2, 3, 4, 5, 0
+#: Slots of a worker's table of words, 32 bytes each; with more than WORDS of them in use it starts anew.
+SLOTS = 1 << 22
+WORDS = 2_400_000
+#: Bytes of a word that fit a slot; longer words are in a dictionary.
+SLOT_BYTES = 24
+
+
+class WordTable:
+    """Splits texts into words and finds their ids with array operations.
+
+    It takes texts of ASCII and Latin letters of two bytes without an
+    apostrophe, which is where the split is plain: by the class of a byte.
+    The table is an open-addressing hash table of words and their place in
+    one array of ids; words are compared in full, not by hash.
+    """
+
+    def __init__(self, lowered: bool):
+        self.lowered = lowered
+        kinds = np.zeros(256, np.uint8)
+        for c in range(33, 127):
+            kinds[c] = LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SIGN
+        kinds[ord("'")] = ODD
+        kinds[32], kinds[10] = SPACE, LINE
+        kinds[0x80:0xC0] = LETTER
+        kinds[0xC3 : 0xC4 if lowered else 0xCA] = LETTER
+        self.kinds = kinds
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+        self.masks = np.asarray([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = np.zeros((SLOTS, 4), np.uint64)  # three words of bytes; place and number of ids, plus one
+        self.pool = np.zeros(1 << 20, "<u4")
+        self.used = self.words = 0
+        self.long: dict[bytes, int] = {}
+
+    def common(self, texts: list[bytes]) -> np.ndarray:
+        """Which of the texts this table can split."""
+        data, ends = self._joined(texts)
+        kind = self.kinds[data]
+        bad = kind == ODD
+        two = np.flatnonzero(data[:-1] >= 0xC3)
+        after = data[two + 1]
+        bad[two] |= (data[two] == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (data[two] == 0xC9) & (after > 0x8F)
+        if not self.lowered:
+            white = (kind == SPACE) | (kind == LINE)
+            bad[1:] |= white[1:] & white[:-1]
+            sizes = np.diff(ends, prepend=0)
+            bad[(ends - sizes)[sizes > 0]] |= white[(ends - sizes)[sizes > 0]]
+            bad[ends[sizes > 0] - 1] |= white[ends[sizes > 0] - 1]
+        out = np.ones(len(texts), bool)
+        out[np.searchsorted(ends, np.flatnonzero(bad), "right")] = False
+        return out
+
+    @staticmethod
+    def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+
+    def _split(self, texts: list[bytes]):
+        """Bytes with some room behind, starts and sizes of words, and how many words end with each text."""
+        data, ends = self._joined(texts)
+        if self.lowered:
+            low = self.lower[data]
+            lead = np.flatnonzero(data[:-1] == 0xC3)
+            low[lead + 1] += (0x20 * (low[lead + 1] < 0x9F)).astype(np.uint8)
+            data = low
+        n = len(data)
+        kind = self.kinds[data]
+        before = np.concatenate([[LINE], kind[:-1]]).astype(np.uint8)
+        before[ends[:-1][ends[:-1] < n]] = LINE
+        if self.lowered:
+            white = (kind == SPACE) | (kind == LINE)
+            new = ~white & ((kind != before) | (kind == DIGIT))
+            new[ends[:-1][ends[:-1] < n]] |= ~white[ends[:-1][ends[:-1] < n]]
+            edge = np.flatnonzero(new | white)
+            keep = new[edge]
+        else:
+            new = (kind != before) & (before != SPACE) | (kind == LINE)
+            new[ends[:-1][ends[:-1] < n]] = True
+            edge = np.flatnonzero(new)
+            keep = slice(None)
+        sizes = np.diff(np.append(edge, n))
+        starts, sizes = edge[keep], sizes[keep]
+        return np.concatenate([data, np.zeros(SLOT_BYTES, np.uint8)]), starts, sizes, np.searchsorted(starts, ends)
+
+    def _keys(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Bytes of each word, up to 24, as three integers."""
+        eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        return np.stack([eights[starts + 8 * k] & self.masks[np.clip(sizes - 8 * k, 0, 8)] for k in range(3)], axis=1)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[:, 2] * np.uint64(0x165667B19E3779F9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(32))) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Last column of the words' slots, 0 where a word isn't there."""
+        out = np.zeros(len(keys), np.uint64)
+        open_, at = np.arange(len(keys)), self._slot(keys)
+        while len(open_):
+            rows = self.slots[at]
+            own = keys[open_]
+            same = (rows[:, 0] == own[:, 0]) & (rows[:, 1] == own[:, 1]) & (rows[:, 2] == own[:, 2]) & (rows[:, 3] > 0)
+            out[open_[same]] = rows[same, 3]
+            on = ~same & (rows[:, 3] > 0)
+            open_, at = open_[on], (at[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _store(self, ids: list[bytes]) -> np.ndarray:
+        """Put ids into the pool: their places and numbers, plus one."""
+        counts = np.asarray([len(x) // 4 for x in ids], np.uint64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while len(self.pool) < self.used + len(flat):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        places = np.uint64(self.used) + np.cumsum(counts, dtype=np.uint64) - counts
+        self.used += len(flat)
+        return (places << np.uint64(20) | counts) + np.uint64(1)
+
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: all different and not in the table."""
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.slots[at, 3] == 0
+            _, first = np.unique(at, return_index=True)
+            put = np.zeros(len(at), bool)
+            put[first] = True
+            put &= free
+            self.slots[at[put], :3] = keys[left[put]]
+            self.slots[at[put], 3] = values[left[put]]
+            left, at = left[~put], (at[~put] + ~free[~put]) & (SLOTS - 1)
+        self.words += len(keys)
+
+    def encode(self, texts: list[bytes], library) -> list[bytes]:
+        data, starts, sizes, bounds = self._split(texts)
+        if self.words > WORDS or len(self.long) > CACHE_PIECES:
+            self._clear()
+        value = np.zeros(len(starts), np.uint64)
+        short = np.flatnonzero(sizes <= SLOT_BYTES)
+        keys = self._keys(data, starts[short], sizes[short])
+        found = self._find(keys)
+        lacking = np.flatnonzero(found == 0)
+        if len(lacking):
+            kinds, first, back = np.unique(keys[lacking], axis=0, return_index=True, return_inverse=True)
+            raw, some = data.tobytes(), short[lacking[first]]
+            new = [raw[s : s + n].decode() for s, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
+            places = self._store(library(new))
+            self._insert(kinds, places)
+            found[lacking] = places[back.ravel()]
+        value[short] = found
+        long = np.flatnonzero(sizes > SLOT_BYTES)
+        if len(long):
+            raw = data.tobytes()
+            words = [raw[s : s + n] for s, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
+            new = sorted({w for w in words if w not in self.long})
+            self.long.update(zip(new, self._store(library([w.decode() for w in new])).tolist(), strict=True))
+            value[long] = [self.long[w] for w in words]
+        value -= np.uint64(1)
+        counts = (value & np.uint64((1 << 20) - 1)).astype(np.int64)
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        source = np.repeat((value >> np.uint64(20)).astype(np.int64) - ends + counts, counts) + np.arange(total)
+        flat = self.pool[source].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], bounds])] * 4
+        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
 
 #: Characters encoded at once.
 BATCH_CHARS = 4_000_000
