@@ -41,7 +41,9 @@ RANK0 = 10
 #: Longer units are drawn one by one and not kept.
 UNIT = 24
 #: Different units whose lattices a worker keeps; some 400 bytes each.
-CACHE_UNITS = 350_000
+CACHE_UNITS = 150_000
+#: Units learned at once, and characters drawn for at once; they bound the arrays in between.
+LEARN, DRAW = 4096, 500_000
 
 _UNITS = re.compile(r" *[^\W\d_]+| *(?:[^\w ]|[\d_])+| +")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -251,11 +253,14 @@ class Sampler:
 
     def encode(self, texts: list[str], keys: list[int | None]) -> list[bytes]:
         """Ids of each text, unsigned 32-bit little-endian. Hand in a few MB at a time."""
+        if not texts:
+            return []
         units = [_UNITS.findall(" " + t) if t else [] for t in texts]
         if len(self.known) > CACHE_UNITS:
             self._clear()
-        missing = {u for us in units for u in us if u not in self.known}
-        self.learn(sorted(u for u in missing if len(u) <= UNIT))
+        missing = sorted({u for us in units for u in us if u not in self.known and len(u) <= UNIT}, key=len)
+        for k in range(0, len(missing), LEARN):
+            self.learn(missing[k : k + LEARN])
         counts = np.asarray([len(us) for us in units])
         total = int(counts.sum())
         get = self.known.get
@@ -318,26 +323,29 @@ def sampler(path: str, alpha: float, seed: int) -> Sampler:
     return _samplers[path, alpha, seed]
 
 
-def _encode(model: str, alpha: float, seed: int):
+def _encode(model: str, alpha: float, seed: int, decoded: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(tokenizer_path(model), alpha, seed)
         for batch in rows:
-            for some, texts in batches(batch, 1):
+            for some, texts in batches(batch, 1, DRAW):
                 ids = own.encode(texts, some.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), lists(ids)], ["doc_id", "n_pieces", "ids"])
+                columns = [some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), lists(ids)]
+                if decoded:
+                    columns.append(pa.array([own.pieces.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids", "decoded"][: len(columns)])
 
     return run
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_pieces, ids."""
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_pieces, ids and, if asked for, decoded: what the ids decode to, by the worker that made them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model, alpha, seed), "doc_id long, n_pieces long, ids array<int>")
+    return rows.mapInArrow(_encode(model, alpha, seed, decoded), "doc_id long, n_pieces long, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decode(model: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sampler(tokenizer_path(model), 1.0, 0).pieces.bytes
+        known = Pieces(tokenizer_path(model)).bytes
         table = np.asarray(known, dtype=object)
         for batch in rows:
             ids = batch.column(batch.schema.names.index("ids"))
@@ -359,4 +367,4 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces, and a digest of what they decode to: that of the text itself."""
-    return decode(encode(documents(spark, sf_dir))).select("doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(documents(spark, sf_dir), decoded=True).select("doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
