@@ -286,7 +286,7 @@ def any_changed(spark, sf_dir):
 def _labels(method: str = "contract"):
     def run(spark, sf_dir, view):
         vertices, edges = VIEWS[view](spark, sf_dir)
-        return C.connected_components(edges, vertices, method)
+        return C.connected_components(edges, vertices, method, closed=True)
 
     return run
 
@@ -304,7 +304,7 @@ for _method, _view in (("stars", "g2"), ("labels", "g6")):
 @query("cc_count_distinct", with_views("g3", _components_sql("s")) + " SELECT count(DISTINCT component) AS n_components FROM cc")
 def cc_count_distinct(spark, sf_dir):
     vertices, edges = VIEWS["g3"](spark, sf_dir)
-    return C.distinct_labels(C.connected_components(edges, vertices), vertices.count())
+    return C.distinct_labels(C.connected_components(edges, vertices, closed=True), vertices.count())
 
 
 @query("cc_staged_halo", with_views("g7", _components_sql("s")) + " SELECT id, component FROM cc")
