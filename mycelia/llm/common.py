@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,34 @@ BROADCAST_IDS = 1_000_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that Spark hands to a Python worker at once, unless the session says otherwise.
+ARROW_KEY, ARROW_DEFAULT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, to be mapped in Arrow batches that are small beside a worker's memory; texts can be long."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_KEY, ARROW_DEFAULT) == ARROW_DEFAULT:
+        conf.set(ARROW_KEY, ARROW_BYTES)
+    return df
+
+
+def resting(run):
+    """run, a function of Arrow batches, that gives its memory back to the system when it ends: a worker waits beside others for its next task."""
+
+    def wrapped(rows):
+        try:
+            yield from run(rows)
+        finally:
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

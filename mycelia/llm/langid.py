@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches, resting
 from .tokens import batches
 
 WINDOW, STEP, EMBED, FILTERS = 256, 4, 8, 16
@@ -185,7 +185,7 @@ def _predict(names: list[str], net: ByteNet | None):
                         said[k], score[k] = names[int(row.argmax())], min(1.0, float(row.max()))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(said), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
 
-    return run
+    return resting(run)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 4, held_fold: int = 2) -> DataFrame:
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     found = sample(docs.filter(fold(id_col, folds) != held_fold), id_col, text_col, label_col)
     names, net = train([t for t, _ in found], [label for _, label in found]) if found else ([], None)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held_fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(names, net), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return in_batches(rows).mapInArrow(_predict(names, net), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

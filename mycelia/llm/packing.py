@@ -22,12 +22,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches, resting
 from .token_orc import lists
 from .tokens import batches, encoder, tokenizer_path
 
@@ -57,13 +56,13 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([*columns, lists(ids)] if with_ids else columns, [*names, "ids"] if with_ids else names)
 
-    return run
+    return resting(run)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), schema)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))).mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -165,16 +164,16 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def _packed(capacity: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-        lengths = rows["length"].tolist()
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop(["__group"]).sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        lengths = rows["length"].to_pylist()
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for number, items in enumerate(pack(lengths, capacity)):
             at = 0
             for k in items:
-                sequence[k], offset[k] = (int(key[0]) << 32) + number, at
+                sequence[k], offset[k] = (key[0].as_py() << 32) + number, at
                 at += lengths[k]
-        return rows.assign(sequence_id=sequence, offset=offset).drop(columns="__group")
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return run
 
@@ -185,7 +184,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
     groups = -(-pieces.count() // group) or 1
     # a piece that fills a bin needs no search, but is a group's row like any other
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups).cast("long")))
-    return dealt.groupBy("__group").applyInPandas(_packed(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("__group").applyInArrow(_packed(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches, resting
 from .tokens import batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("nothing", *KINDS)
 FEATURES = 4096
 #: Different words whose scores a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -434,13 +434,13 @@ def _scan(field: Field):
                 digest = [hashlib.sha256(told(b).encode()).hexdigest() for b in base]
                 yield pa.RecordBatch.from_arrays([some.column(0), *counts, pa.array(digest), pa.array([told(e) for e in every])], ["doc_id", *(f"n_{kind}" for kind in KINDS[:4]), "base_sha256", "spans"])
 
-    return run
+    return resting(run)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
     """One row per row of docs: doc_id, base counts, base_sha256, spans."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(field or train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return in_batches(rows).mapInArrow(_scan(field or train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -463,12 +463,12 @@ def _redact(field: Field, place: int):
                 new = [None if gone else redacted(t, s) if s else t for t, s, gone in zip(texts, find(finder, texts)[1], null, strict=True)]
                 yield some.set_column(place, some.schema.field(place), pa.array(new, some.schema.types[place]))
 
-    return run
+    return resting(run)
 
 
 def redact(docs: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
     """docs with personal data in text_col replaced; the same columns, null text stays null."""
-    return docs.mapInArrow(_redact(field or train(), docs.columns.index(text_col)), docs.schema)
+    return in_batches(docs).mapInArrow(_redact(field or train(), docs.columns.index(text_col)), docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch
+from .common import documents, in_batches, resting, scratch
 from .tokens import batches
 
 LENGTH, K = 200, 40
 #: Different pieces of an anchor up to which they are compared as one collection: about 16 MB.
 COLLECTION = 50_000
 #: Bytes handled at once; longer texts are handled in parts that overlap.
-BLOCK = 4_000_000
+BLOCK = 1_500_000
 #: The filter of repeated anchors has 16 bits for each, but at most so many: 32 MB.
 MAX_BITS = 1 << 28
 #: Pieces that a task compares at once.
@@ -136,7 +136,7 @@ def _anchor_hashes(length: int, k: int):
                 low, high = ph[cuts], ph[cuts + n - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(h[cuts]), pa.array(n), pa.array(low), pa.array(high, mask=low == high)], ["h", "n", "low", "high"])
 
-    return run
+    return resting(run)
 
 
 def _bits(h: np.ndarray, bits: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def _bitmap(bits: int):
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(words[used], pa.int64())], ["place", "bits"])
 
-    return run
+    return resting(run)
 
 
 def _filter(anchors: DataFrame, n: int, limit: int = MAX_BITS) -> np.ndarray:
@@ -200,7 +200,7 @@ def _candidates(length: int, k: int, repeated, mixed):
                     ["doc_id", "text_hash", "start", "strings", "at", "h", "ph", "content"],
                 )
 
-    return run
+    return resting(run)
 
 
 def compare(group: np.ndarray, contents: list[bytes], at: np.ndarray, strings: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +272,7 @@ def _compared(length: int, k: int):
         if count:
             yield results(pa.Table.from_batches(held).combine_chunks())
 
-    return run
+    return resting(run)
 
 
 def _remaining(texts: list[bytes], spans: list[list[tuple[int, int]]]):
@@ -306,7 +306,7 @@ def _removed(with_text: bool):
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(left, pa.binary())] if with_text else columns, [*names, "kept"] if with_text else names)
 
-    return run
+    return resting(run)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -319,7 +319,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str
     if not 0 < k <= length:
         raise ValueError("k must be from 1 to length")
     spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col).filter(F.octet_length("text") >= length)
+    texts = in_batches(_texts(docs, id_col, text_col)).filter(F.octet_length("text") >= length)
     anchors = texts.mapInArrow(_anchor_hashes(length, k), "h long, n long, low long, high long")
     repeated = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high")).filter("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed")).checkpoint()
     n_mixed, n_repeated = repeated.agg(F.count_if("mixed"), F.count(F.lit(1))).first()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from mycelia.operators.components import connected_components, forest
 
-from .common import documents, without_ids
+from .common import documents, in_batches, resting, without_ids
 from .tokens import batches
 
 RADIUS, SHINGLE = 3, 3
@@ -89,7 +89,7 @@ def _fingerprint(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))).mapInArrow(resting(_fingerprint), "doc_id long, fp long")
 
 
 def masks(free: int, radius: int = RADIUS, seed: int = 1) -> list[int]:
@@ -160,7 +160,7 @@ def _links(radius: int):
         close(True)
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    return run
+    return resting(run)
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, depth: int = 0) -> DataFrame:
@@ -189,12 +189,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: doc_id, fp (long), component_id."""
     rows = with_fingerprints(docs, id_col, text_col).checkpoint()
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
-    links = near_links(nodes, radius, bucket)
+    # written before they are contracted: a task with both steps would need two Python workers
+    links = near_links(nodes, radius, bucket).checkpoint()
     labels = connected_components(links).checkpoint()
     in_groups = nodes.join(labels.withColumnRenamed("id", "fp"), "fp")
     firsts = in_groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = labels.join(firsts, "component").select(F.col("id").alias("fp"), "component_id")
-    of_node = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # read back from files, so that a fingerprint with very many rows can be split in the last join
+    of_node = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")).checkpoint()
     return rows.join(of_node, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch
+from .common import documents, in_batches, resting, scratch
 from .tokens import batches, encoder, tokenizer_path
 
 ROWS = "part int, doc_id long, before long, n_tokens long, ids array<int>"
@@ -48,13 +48,13 @@ def _encode(tokenizer: str, end_id: int):
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(starts), pa.array(n), lists(ids)], ["part", "doc_id", "before", "n_tokens", "ids"])
 
-    return run
+    return resting(run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000) -> None:
     """Encode and write all documents. The number of files is that of the session's shuffle partitions, or fewer if they are small."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = rows.mapInArrow(_encode(tokenizer, end_id), ROWS)
+    encoded = in_batches(rows).mapInArrow(_encode(tokenizer, end_id), ROWS)
     encoded.write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(row_index_stride)).option("orc.create.index", "true").orc(path)
 
 
@@ -80,7 +80,7 @@ def _checksum(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_checksums(tokens: DataFrame) -> DataFrame:
-    return tokens.mapInArrow(_checksum, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(tokens).mapInArrow(resting(_checksum), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from array import array
 import numpy as np
 
 #: Pieces kept in each generation of each of a worker's two caches, about 200 bytes each.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 60_000
 #: Longer pieces are kept for one generation only.
 CACHE_LENGTH = 64
 
@@ -118,6 +118,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """texts: UTF-8. Hand in a few MB at a time: all different pieces of the texts are held at once."""
+        if not texts:
+            return []
         out: list[bytes | None] = [None] * len(texts)
         common = np.zeros(len(texts), bool) if self.kind == "library" else self.table.common(texts)
         rare = np.flatnonzero(~common).tolist()
@@ -132,8 +134,8 @@ class Encoder:
 
 LETTER, DIGIT, SIGN, SPACE, LINE, ODD = 1, 2, 3, 4, 5, 0
 #: Slots of a worker's table of words, 32 bytes each; with more than WORDS of them in use it starts anew.
-SLOTS = 1 << 22
-WORDS = 2_400_000
+SLOTS = 1 << 20
+WORDS = 650_000
 #: Bytes of a word that fit a slot; longer words are in a dictionary.
 SLOT_BYTES = 24
 
@@ -302,7 +304,7 @@ class WordTable:
 
 
 #: Characters encoded at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def batches(batch, text: int, chars: int = BATCH_CHARS):
@@ -326,8 +328,8 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
+    gc.disable()  # nothing here is cyclic, and each collection would walk the caches
     if path not in _encoders:
-        gc.disable()  # nothing here is cyclic, and each collection would walk the caches
         _encoders[path] = Encoder(path)
     return _encoders[path]
 

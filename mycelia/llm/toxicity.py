@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches, resting
 from .langid import Adam, fold, hashed_share
 from .tokens import batches
 
@@ -47,7 +47,7 @@ FREQUENT, FREQUENT_SHARE = 12, 0.01
 HIDE = 0.2
 THRESHOLD = 0.7
 #: Different words whose inputs a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -65,7 +65,7 @@ def trigram_sums(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of words, (word, place), and which places are used."""
     padded = [b"^" + w.encode("utf-8", "replace")[:WORD_BYTES] + b"$" for w in words]
     width = WORD_BYTES + 2
-    raw = np.array(padded, dtype=f"S{width}").view(np.uint8).reshape(len(words), width).astype(np.int64)
+    raw = np.array(padded, dtype=f"S{width}").view(np.uint8).reshape(len(words), width).astype(np.int32)
     grams = (raw[:, :-2] * 7919 + raw[:, 1:-1] * 104729 + raw[:, 2:] * 1299709) % TRIGRAMS
     return grams, raw[:, 2:] > 0
 
@@ -96,14 +96,16 @@ class Net:
 
     def embed(self, row: np.ndarray, grams: np.ndarray, used: np.ndarray) -> np.ndarray:
         n = np.maximum(used.sum(1, keepdims=True), 1).astype(np.float32)
-        chars = (self.p["char"][grams] * used[:, :, None]).sum(1) / n
-        return np.concatenate([self.p["word"][row], chars], axis=1)
+        chars = np.zeros((len(row), CHAR), self.p["char"].dtype)
+        for k in range(0, len(row), 8192):  # the trigrams' embeddings of all words at once would be large
+            chars[k : k + 8192] = (self.p["char"][grams[k : k + 8192]] * used[k : k + 8192, :, None]).sum(1)
+        return np.concatenate([self.p["word"][row], chars / n], axis=1)
 
     def _run(self, gates: np.ndarray, live: np.ndarray, side: str, keep: bool):
         """gates: (time, window, 3 * hidden) from the inputs; live: (time, window, 1). States, and what the way back needs."""
         h, u = HIDDEN, self.p[f"u{side}"]
-        state = np.zeros((gates.shape[1], h), np.float32)
-        states = np.empty((*gates.shape[:2], h), np.float32)
+        state = np.zeros((gates.shape[1], h), gates.dtype)
+        states = np.empty((*gates.shape[:2], h), gates.dtype)
         saved = []
         order = range(len(gates)) if side == "f" else range(len(gates) - 1, -1, -1)
         for t in order:
@@ -151,7 +153,7 @@ class Net:
         d_x = np.zeros_like(x)
         for k, side in enumerate("fb"):
             u = p[f"u{side}"]
-            carry = np.zeros((n, h), np.float32)
+            carry = np.zeros((n, h), x.dtype)
             gu, gg = np.zeros_like(u), np.zeros_like(gates[side])
             for t, before, z, r, new, back in reversed(runs[side][1]):
                 d_h = d_states[t, :, k * h : (k + 1) * h] + carry
@@ -290,7 +292,7 @@ def _score(net: Net):
             for some, texts in batches(batch, 2):
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(own.scores(texts))], ["id", "held_out", "score"])
 
-    return run
+    return resting(run)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_kind: int = SAMPLE) -> tuple[list[str], list[int], float]:
@@ -314,7 +316,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_fold: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held_fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(net), "id long, held_out boolean, score double")
+    scored = in_batches(rows).mapInArrow(_score(net), "id long, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -331,12 +333,12 @@ def _clean(net: Net, place: int, threshold: float):
             for some, texts in batches(batch, place):
                 yield some.filter(pa.array(own.scores(texts) < threshold))
 
-    return run
+    return resting(run)
 
 
 def without_toxic(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs that score under the threshold, with all their columns."""
-    return docs.mapInArrow(_clean(net, docs.columns.index(text_col), threshold), docs.schema)
+    return in_batches(docs).mapInArrow(_clean(net, docs.columns.index(text_col), threshold), docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
