@@ -83,14 +83,15 @@ def _both(edges: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Every vertex links its larger neighbours to the smallest of its neighbours and itself."""
     both = _both(edges)
-    low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
+    # written, so that the join reads two exchanges and a hub's rows can be split among tasks
+    low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low")).checkpoint()
     return both.filter("dst > src").join(low.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every vertex links itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src > dst").distinct()
-    low = down.groupBy("src").agg(F.min("dst").alias("low"))
+    low = down.groupBy("src").agg(F.min("dst").alias("low")).checkpoint()
     linked = down.join(low.hint("merge"), "src").filter("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return linked.unionByName(low.select("src", F.col("low").alias("dst"))).distinct()
 
