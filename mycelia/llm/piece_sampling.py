@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches, resting
 from .token_orc import lists
 from .tokens import batches, tokenizer_path
 
@@ -41,7 +41,7 @@ RANK0 = 10
 #: Longer units are drawn one by one and not kept.
 UNIT = 24
 #: Different units whose lattices a worker keeps; some 400 bytes each.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 300_000
 #: Units learned at once, and characters drawn for at once; they bound the arrays in between.
 LEARN, DRAW = 4096, 500_000
 
@@ -334,13 +334,13 @@ def _encode(model: str, alpha: float, seed: int, decoded: bool):
                     columns.append(pa.array([own.pieces.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids", "decoded"][: len(columns)])
 
-    return run
+    return resting(run)
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, ids and, if asked for, decoded: what the ids decode to, by the worker that made them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model, alpha, seed, decoded), "doc_id long, n_pieces long, ids array<int>" + ", decoded string" * decoded)
+    return in_batches(rows).mapInArrow(_encode(model, alpha, seed, decoded), "doc_id long, n_pieces long, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decode(model: str):
@@ -355,14 +355,14 @@ def _decode(model: str):
             texts = [b"".join(flat[a:b])[1:].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)] if first == 0 or len(flat) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return run
+    return resting(run)
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Adds `decoded`, the text that ids stand for."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return encoded.mapInArrow(_decode(model), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return in_batches(encoded).mapInArrow(_decode(model), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
