@@ -43,7 +43,7 @@ LENGTH, K = 200, 40
 #: Different pieces of an anchor up to which they are compared as one collection: about 16 MB.
 COLLECTION = 50_000
 #: Bytes handled at once; longer texts are handled in parts that overlap.
-BLOCK = 1_500_000
+BLOCK = 500_000
 #: The filter of repeated anchors has 16 bits for each, but at most so many: 32 MB.
 MAX_BITS = 1 << 28
 #: Pieces that a task compares at once.
@@ -326,7 +326,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str
     filters = [spark.sparkContext.broadcast(_filter(x.select("h"), n)) for x, n in ((repeated, n_repeated), (repeated.filter("mixed"), n_mixed))]
     path = scratch(spark, "pieces")
     schema = "doc_id long, text_hash long, start long, strings int, at int, h long, ph long, content binary"
-    texts.mapInArrow(_candidates(length, k, *filters), schema).write.option("compression", "zstd").parquet(path)
+    texts.mapInArrow(_candidates(length, k, *filters), schema).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     found = spark.read.schema(schema).parquet(path)
     equal = found.groupBy("h", "ph").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "ph", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
     some = found.filter("content IS NOT NULL").groupBy("h", "ph").agg(F.first("strings").alias("strings"), F.first("at").alias("at"), F.first("content").alias("content"))
