@@ -193,9 +193,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = near_links(nodes, radius, bucket).checkpoint()
     labels = connected_components(links).checkpoint()
     in_groups = nodes.join(labels.withColumnRenamed("id", "fp"), "fp")
-    firsts = in_groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    firsts = in_groups.groupBy("component").agg(F.min("first_id").alias("component_id")).checkpoint()
     named = labels.join(firsts, "component").select(F.col("id").alias("fp"), "component_id")
-    # read back from files, so that a fingerprint with very many rows can be split in the last join
+    # like firsts, read back from files: a join of two exchanges can split a fingerprint or group with very many rows
     of_node = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")).checkpoint()
     return rows.join(of_node, "fp").select("doc_id", "fp", "component_id")
 
