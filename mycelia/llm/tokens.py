@@ -133,9 +133,11 @@ class Encoder:
 
 
 LETTER, DIGIT, SIGN, SPACE, LINE, ODD = 1, 2, 3, 4, 5, 0
-#: Slots of a worker's table of words, 32 bytes each; with more than WORDS of them in use it starts anew.
+#: Slots of a worker's table of words, 32 bytes each. With more than WORDS of them in use it takes no more, and starts anew
+#: once it lacks more than DRIFT of a batch's words.
 SLOTS = 1 << 20
 WORDS = 650_000
+DRIFT = 0.15
 #: Bytes of a word that fit a slot; longer words are in a dictionary.
 SLOT_BYTES = 24
 
@@ -168,6 +170,7 @@ class WordTable:
         self.slots = np.zeros((SLOTS, 4), np.uint64)  # three words of bytes; place and number of ids, plus one
         self.pool = np.zeros(1 << 20, "<u4")
         self.used = self.words = 0
+        self.missed = 0.0  # share of the last batch's words that weren't in the table
         self.long: dict[bytes, int] = {}
 
     def common(self, texts: list[bytes]) -> np.ndarray:
@@ -271,34 +274,41 @@ class WordTable:
 
     def encode(self, texts: list[bytes], library) -> list[bytes]:
         data, starts, sizes, bounds = self._split(texts)
-        if self.words > WORDS or len(self.long) > CACHE_PIECES:
+        full = self.words > WORDS
+        if full and self.missed > DRIFT or len(self.long) > CACHE_PIECES:
             self._clear()
+            full = False
         value = np.zeros(len(starts), np.uint64)
+        long = np.flatnonzero(sizes > SLOT_BYTES)
+        if len(long):
+            raw = data.tobytes()
+            words = [raw[s : s + n] for s, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
+            new = sorted({w for w in words if w not in self.long})
+            self.long.update(zip(new, self._store(library([w.decode() for w in new])).tolist(), strict=True))
+            value[long] = [self.long[w] for w in words]
+        kept = self.used
         short = np.flatnonzero(sizes <= SLOT_BYTES)
         keys = self._keys(data, starts[short], sizes[short])
         found = self._find(keys)
         lacking = np.flatnonzero(found == 0)
+        self.missed = len(lacking) / max(1, len(short))
         if len(lacking):
             kinds, first, back = np.unique(keys[lacking], axis=0, return_index=True, return_inverse=True)
             raw, some = data.tobytes(), short[lacking[first]]
             new = [raw[s : s + n].decode() for s, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
             places = self._store(library(new))
-            self._insert(kinds, places)
+            if not full:
+                self._insert(kinds, places)
             found[lacking] = places[back.ravel()]
         value[short] = found
-        long = np.flatnonzero(sizes > SLOT_BYTES)
-        if len(long):
-            raw = data.tobytes()
-            words = [raw[s : s + n] for s, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
-            new = sorted({w for w in words if w not in self.long})
-            self.long.update(zip(new, self._store(library([w.decode() for w in new])).tolist(), strict=True))
-            value[long] = [self.long[w] for w in words]
         value -= np.uint64(1)
         counts = (value & np.uint64((1 << 20) - 1)).astype(np.int64)
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         source = np.repeat((value >> np.uint64(20)).astype(np.int64) - ends + counts, counts) + np.arange(total)
         flat = self.pool[source].tobytes()
+        if full:  # what isn't in the table is forgotten
+            self.used = kept
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], bounds])] * 4
         return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 

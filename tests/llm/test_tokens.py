@@ -48,6 +48,17 @@ def test_small_table_starts_anew(monkeypatch):
     assert got == library(FILES[0], texts)
 
 
+def test_full_table_takes_no_more(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 5)
+    monkeypatch.setattr(tokens, "DRIFT", 0.9)
+    own = tokens.Encoder(tokenizer_path(FILES[0]))
+    texts = [f"the same words and other{k} " + "y" * (30 + k % 2) + " more" for k in range(20)]
+    for _ in range(2):
+        got = [np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() for t in texts]
+        assert got == library(FILES[0], texts)
+    assert own.table.words < 12
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
