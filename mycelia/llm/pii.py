@@ -37,6 +37,8 @@ LABELS = ("nothing", *KINDS)
 FEATURES = 4096
 #: Different words whose scores a worker keeps.
 CACHE_WORDS = 150_000
+#: Bytes of text scanned at once.
+BATCH = 400_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -428,7 +430,7 @@ def _scan(field: Field):
         gc.disable()  # no cycles arise here, and collections would walk the words again and again
         finder = Finder(field)
         for batch in rows:
-            for some, texts in batches(batch, 1):
+            for some, texts in batches(batch, 1, BATCH):
                 base, every = find(finder, texts)
                 counts = [pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64()) for kind in KINDS[:4]]
                 digest = [hashlib.sha256(told(b).encode()).hexdigest() for b in base]
@@ -458,7 +460,7 @@ def _redact(field: Field, place: int):
         gc.disable()
         finder = Finder(field)
         for batch in rows:
-            for some, texts in batches(batch, place):
+            for some, texts in batches(batch, place, BATCH):
                 null = some.column(place).is_null().to_pylist()
                 new = [None if gone else redacted(t, s) if s else t for t, s, gone in zip(texts, find(finder, texts)[1], null, strict=True)]
                 yield some.set_column(place, some.schema.field(place), pa.array(new, some.schema.types[place]))

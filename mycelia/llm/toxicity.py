@@ -48,6 +48,8 @@ HIDE = 0.2
 THRESHOLD = 0.7
 #: Different words whose inputs a worker keeps.
 CACHE_WORDS = 120_000
+#: Bytes of text scored at once.
+BATCH = 400_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -289,7 +291,7 @@ def _score(net: Net):
         gc.disable()  # no cycles arise here, and collections would walk the words again and again
         own = Scorer(net)
         for batch in rows:
-            for some, texts in batches(batch, 2):
+            for some, texts in batches(batch, 2, BATCH):
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(own.scores(texts))], ["id", "held_out", "score"])
 
     return resting(run)
@@ -330,7 +332,7 @@ def _clean(net: Net, place: int, threshold: float):
         gc.disable()
         own = Scorer(net)
         for batch in rows:
-            for some, texts in batches(batch, place):
+            for some, texts in batches(batch, place, BATCH):
                 yield some.filter(pa.array(own.scores(texts) < threshold))
 
     return resting(run)
