@@ -1,8 +1,11 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 A word's input is its own embedding, if it is frequent enough in the sample,
-and the mean embedding of its hashed character trigrams. The network reads
-windows of 32 words that overlap by 8; attention pools the states of both
+and the mean embedding of its hashed character trigrams. A word of more than
+24 bytes is cut at its joiners (slashes, dashes, punctuation), and what is
+still longer into overlapping runs of at most 24 bytes; each of these parts is
+an input of its own, so that texts without spaces are read whole. The network
+reads windows of 32 inputs that overlap by 8; attention pools the states of both
 directions. A text's score is that of its highest window, and all of its
 windows are scored.
 
@@ -37,8 +40,8 @@ from .tokens import batches
 
 WINDOW, STRIDE = 32, 24
 WORD, CHAR, TRIGRAMS, HIDDEN, ATTEND = 8, 8, 4096, 8, 8
-#: Bytes of a word whose trigrams are used.
-WORD_BYTES = 24
+#: Bytes of an input at most, and by how much the runs of a longer part of a word overlap at least.
+WORD_BYTES, WORD_OVERLAP = 24, 8
 #: About so many labelled documents of either kind are learned from, chosen by a hash of their id.
 SAMPLE = 1500
 #: A word has an embedding of its own if so many documents of the sample, and this share of them, have it.
@@ -52,20 +55,40 @@ CACHE_WORDS = 120_000
 BATCH = 400_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_JOINERS = r"/\\_\-|,;:.=&+?!\u2010-\u2015\u2026\u3001\u3002\uff01\uff0c\uff0e\uff0f\uff1a\uff1b\uff1f"
+_PART = re.compile(f"[^{_JOINERS}]*[{_JOINERS}]+|[^{_JOINERS}]+")
 
 
 def normal(word: str) -> str:
     return _EDGE.sub("", word.lower())
 
 
+def subwords(word: str) -> list[str]:
+    """Parts of at most WORD_BYTES bytes that together have every byte; joiners stay at the end of their part."""
+    if 4 * len(word) <= WORD_BYTES or len(word.encode("utf-8", "replace")) <= WORD_BYTES:
+        return [word]
+    out = []
+    for part in _PART.findall(word):
+        raw, start, stop = part.encode("utf-8", "replace"), 0, 0
+        while stop < len(raw):
+            stop = min(start + WORD_BYTES, len(raw))
+            while stop < len(raw) and raw[stop] & 0xC0 == 0x80:  # not inside a character
+                stop -= 1
+            out.append(raw[start:stop].decode())
+            start = stop - WORD_OVERLAP
+            while start > 0 and raw[start] & 0xC0 == 0x80:
+                start -= 1
+    return out
+
+
 def starts(n: int) -> range:
     """Where the windows of a text of n words begin; together they cover it."""
     return range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
 def trigram_sums(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of words, (word, place), and which places are used."""
-    padded = [b"^" + w.encode("utf-8", "replace")[:WORD_BYTES] + b"$" for w in words]
+    """Hashed trigrams of words of at most WORD_BYTES bytes, (word, place), and which places are used."""
+    padded = [b"^" + w.encode("utf-8", "replace") + b"$" for w in words]
     width = WORD_BYTES + 2
     raw = np.array(padded, dtype=f"S{width}").view(np.uint8).reshape(len(words), width).astype(np.int32)
     grams = (raw[:, :-2] * 7919 + raw[:, 1:-1] * 104729 + raw[:, 2:] * 1299709) % TRIGRAMS
@@ -92,9 +115,14 @@ class Net:
             self.p |= {f"w{side}": draw(d, 3 * h, scale=d**-0.5), f"u{side}": draw(h, 3 * h, scale=h**-0.5), f"c{side}": np.zeros(3 * h, np.float32)}
         self.prior = 0.0
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, trigrams and used trigrams of normal forms."""
-        return np.asarray([self.rows.get(w, 1) for w in words]), *trigram_sums(words)
+    def parts(self, word: str) -> list[tuple[int, str]]:
+        """Inputs of a normal form: row and part. A long word with a row of its own has it in all its parts."""
+        own, some = self.rows.get(word, 1), subwords(word)
+        return [(own, word)] if len(some) == 1 else [(own if own > 1 else self.rows.get(normal(s), 1), s) for s in some]
+
+    def inputs(self, parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, trigrams and used trigrams of parts."""
+        return np.asarray([row for row, _ in parts]), *trigram_sums([s for _, s in parts])
 
     def embed(self, row: np.ndarray, grams: np.ndarray, used: np.ndarray) -> np.ndarray:
         n = np.maximum(used.sum(1, keepdims=True), 1).astype(np.float32)
@@ -171,9 +199,9 @@ class Net:
             d_x += gg @ p[f"w{side}"].T
         return loss, g, d_x
 
-    def tables(self, words: list[str]) -> np.ndarray:
-        """Gates that each word sends to both directions, (word, 6 * hidden)."""
-        x = self.embed(*self.inputs(words))
+    def tables(self, parts: list[tuple[int, str]]) -> np.ndarray:
+        """Gates that each input sends to both directions, (input, 6 * hidden)."""
+        x = self.embed(*self.inputs(parts))
         return np.concatenate([x @ self.p[f"w{side}"] + self.p[f"c{side}"] for side in "fb"], axis=1)
 
     def score_windows(self, table: np.ndarray, ids: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -201,18 +229,20 @@ def cut(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 6, batch: int = 64, seed: int = 0) -> Net:
     """share: of toxic texts where the sample comes from, if the sample has another; scores are calibrated to it."""
     words = [[normal(w) for w in t.split()] for t in texts]
-    seen = Counter(w for ws in words for w in set(ws) if w)
+    # parts of long words count as words, and so does a long word as a whole
+    seen = Counter(w for ws in words for w in {x for v in set(ws) for x in (v, *map(normal, subwords(v)))} if w)
     net = Net(sorted(w for w, n in seen.items() if n >= max(FREQUENT, FREQUENT_SHARE * len(texts))), seed)
     y = np.asarray(labels, np.float32)
     net.prior = float(y.mean()) if len(y) else 0.0
     if not 0 < net.prior < 1:
         return net
     net.p["bias"][0] = np.log(net.prior / (1 - net.prior))
-    names = sorted({w for ws in words for w in ws} | {""})
-    number = {w: k for k, w in enumerate(names)}
+    inputs = [[part for w in ws for part in net.parts(w)] for ws in words]
+    names = sorted({part for parts in inputs for part in parts} | set(net.parts("")))
+    number = {part: k for k, part in enumerate(names)}
     row, grams, used = net.inputs(names)
-    flat = np.asarray([number[w] for ws in words for w in ws] or [0])
-    place, live, counts = cut(np.asarray([len(ws) for ws in words]))
+    flat = np.asarray([number[part] for parts in inputs for part in parts] or [0])
+    place, live, counts = cut(np.asarray([len(parts) for parts in inputs]))
     ids = flat[place]
     ends = np.cumsum(counts)
     rng = np.random.default_rng(seed)
@@ -254,25 +284,55 @@ class Scorer:
     """Scores texts; keeps the inputs of words it has seen."""
 
     def __init__(self, net: Net):
-        self.net, self.known = net, {}
+        self.net = net
         self.table = np.zeros((1, 6 * HIDDEN), np.float32)
-        self.used = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        # a word's row of the table, or -1 - k for the k-th word of several inputs, whose rows are in `several`
+        self.known: dict[str, int] = {}
+        self.of_part: dict[tuple[int, str], int] = {}
+        self.several: list[np.ndarray] = []
+        self.used = self.listed = 0
 
     def _learn(self, words: list[str]) -> None:
-        rows = self.net.tables([normal(w) for w in words])
+        inputs = [self.net.parts(normal(w)) for w in words]
+        own = [parts[0] for parts in inputs if len(parts) == 1]
+        shared = {part: None for parts in inputs if len(parts) > 1 for part in parts if part not in self.of_part}
+        rows = self.net.tables([*own, *shared])
         while len(self.table) < self.used + len(rows):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[self.used : self.used + len(rows)] = rows
-        self.known.update(zip(words, range(self.used, self.used + len(rows)), strict=True))
+        self.of_part.update(zip(shared, range(self.used + len(own), self.used + len(rows)), strict=True))
+        at = self.used
+        for w, parts in zip(words, inputs, strict=True):
+            if len(parts) == 1:
+                self.known[w] = at
+                at += 1
+            else:
+                self.known[w] = -1 - len(self.several)
+                self.several.append(np.asarray([self.of_part[part] for part in parts]))
+                self.listed += len(parts)
         self.used += len(rows)
 
+    def _expand(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the table, and their number in each text, with the words of several inputs written out."""
+        long = np.flatnonzero(flat < 0)
+        rows = [self.several[-1 - k] for k in flat[long].tolist()]
+        sizes = np.ones(len(flat), np.int64)
+        sizes[long] = [len(r) for r in rows]
+        ends = np.cumsum(sizes)
+        out = np.repeat(flat, sizes)
+        for k, r in zip(long.tolist(), rows, strict=True):
+            out[ends[k] - len(r) : ends[k]] = r
+        return out, np.diff(np.concatenate([[0], ends])[np.cumsum(lengths)], prepend=0)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if not 0 < self.net.prior < 1:
             return np.full(len(texts), self.net.prior)
         words = [t.split() for t in texts]
-        if self.used > CACHE_WORDS:
-            self.known.clear()
-            self.used = 0
+        if self.used + self.listed > CACHE_WORDS:
+            self._clear()
         get = self.known.get
         found = [list(map(get, ws)) for ws in words]
         missing = sorted({w for ws, ids in zip(words, found, strict=True) if None in ids for w, k in zip(ws, ids, strict=True) if k is None})
@@ -281,6 +341,8 @@ class Scorer:
             found = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(words, found, strict=True)]
         lengths = np.asarray([len(ids) for ids in found])
         flat = np.fromiter((k for ids in found for k in ids), np.int64, int(lengths.sum())) if lengths.sum() else np.zeros(1, np.int64)
+        if flat.min() < 0:
+            flat, lengths = self._expand(flat, lengths)
         place, live, counts = cut(lengths)
         windows = self.net.score_windows(self.table, flat[place], live)
         return np.maximum.reduceat(windows, np.cumsum(counts) - counts).astype(np.float64)

@@ -98,3 +98,36 @@ def test_scores_do_not_depend_on_the_batch():
     texts = ["", "good", "bad ones " * 50, "a " * 400 + "bad ones there"]
     together = T.Scorer(net).scores(texts)
     assert np.allclose(together, [T.Scorer(net).scores([t])[0] for t in texts], atol=1e-5)
+
+
+def test_long_words_are_read_whole():
+    for word in ("".join(f"{k}x" for k in range(300)), "".join(map(chr, range(0x4E00, 0x4F00))), "aé好🙂".join(map(chr, range(0x5000, 0x5040))), "one/two-three_" + "".join(map(chr, range(0x100, 0x170)))):
+        end = 0
+        for s in T.subwords(word):
+            assert len(s.encode()) <= T.WORD_BYTES and word.index(s) <= end < word.index(s) + len(s)
+            end = word.index(s) + len(s)
+        assert end == len(word)
+    assert T.subwords("short") == ["short"]
+
+
+def trained(joiner, pool, bad):
+    rng = np.random.default_rng(0)
+    some = lambda toxic: joiner.join([*rng.choice(pool, 25), *[bad] * toxic, *rng.choice(pool, 10)])
+    return T.train([some(0) for _ in range(200)] + [some(1) for _ in range(200)], [0] * 200 + [1] * 200)
+
+
+def test_toxic_word_late_in_a_long_word():
+    pool = [f"w{k}x" for k in range(60)]
+    net = trained(" ", pool, "vile")
+    for joiner in ("/", "_", "-", "\u2014"):
+        clean, own = joiner.join(pool[:40]), T.Scorer(net)
+        for _ in range(2):  # the second time out of the cache
+            low, *high, spaced = own.scores([clean, clean + joiner + "vile", clean + joiner + "vile" + joiner + clean, clean.replace(joiner, " ")])
+            assert max(low, spaced) < 0.5 and min(high) > T.THRESHOLD
+
+
+def test_text_without_spaces():
+    pool = [chr(0x4E00 + 7 * k) for k in range(60)]
+    clean = "".join(pool)
+    low, *high = T.Scorer(trained("", pool, "坏话连篇骂人")).scores([clean, clean + "坏话连篇骂人", clean + "坏话连篇骂人" + clean])
+    assert low < 0.5 and min(high) > T.THRESHOLD
