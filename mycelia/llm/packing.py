@@ -6,9 +6,9 @@ packed on its own, at the cost of at most a bin or two that a single packing
 of everything would save. Within a group a best-fit pass gives the start. Then
 the local search works on underfull bins: it takes the emptiest and moves its
 pieces to others, exchanges one of them for a smaller one, or one for two
-smaller ones, or two for one, whenever that raises the sum of squared fills,
-until bins empty and no exchange helps, or the group has as few bins as its
-total needs.
+smaller ones, or two for one, with any bin at least as full. Each step raises
+the sum of squared fills. It ends when no such move or exchange is left, or the
+group has as few bins as its total needs.
 
 Defined results. Null text counts as empty and is the end id alone. Null or
 repeated ids are packed like any other row. Ties are broken by id, piece and
@@ -18,8 +18,8 @@ checksum. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -87,75 +87,136 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-#: An exchange is looked for with so many of the bins that have the most room.
-REACH = 48
-#: Steps of the search, as a multiple of the underfull bins that it begins with.
-EFFORT = 4
-
-
 def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Fewer bins, by moves and exchanges between underfull ones that raise the sum of squared fills."""
+    """Fewer bins, by moves and exchanges between underfull ones that raise the sum of squared fills, until none is left.
+
+    A bin that nothing helps is looked at again only after a change of it, or
+    of another one that it could then give to.
+    """
     bins = [b for b in bins if b]
-    fewest = -(-sum(lengths) // capacity)
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    under = sorted((fill[b], b) for b in range(len(bins)) if fill[b] < capacity)
-    left, steps = len(bins), EFFORT * len(under)
+    size, left, fewest = np.asarray(lengths, np.int64), len(bins), -(-sum(lengths) // capacity)
+    room = np.asarray([capacity - sum(lengths[k] for k in b) for b in bins], np.int64)
+    items = np.asarray([k for b, r in zip(bins, room, strict=True) if r for k in b], np.int64)  # a full bin has no part in it
+    home = np.zeros(len(lengths), np.int64)
+    for b, own in enumerate(bins):
+        home[own] = b
+    item_size, item_bin = size[items], home[items]
+    place = np.zeros(len(lengths), np.int64)
+    place[items] = np.arange(len(items))
+    version = np.zeros(len(bins), np.int64)
+    # sums of two items of a bin, bin, and the bin's version that they are of; rows of older versions are dropped now and then
+    pairs, used = np.zeros((3, 1024), np.int64), 0
+
+    def of_two(b: int) -> dict[int, list[int]]:
+        one: dict[int, list[int]] = {}
+        for k in bins[b]:
+            one.setdefault(lengths[k], []).append(k)
+        kinds = sorted(one.items())
+        return {x + y: [j[0], k[0]] for i, (x, j) in enumerate(kinds) for y, k in kinds[i + 1 :]} | {2 * x: j[:2] for x, j in kinds if len(j) > 1}
+
+    def note(b: int) -> None:
+        nonlocal pairs, used
+        sums = list(of_two(b))
+        if used + len(sums) > pairs.shape[1]:
+            live = pairs[:, :used]
+            live = live[:, live[2] == version[live[1]]]
+            pairs, used = np.zeros((3, 2 * (live.shape[1] + len(sums)) + 1024), np.int64), live.shape[1]
+            pairs[:, :used] = live
+        pairs[0, used : used + len(sums)] = sums
+        pairs[1:, used : used + len(sums)] = [[b], [version[b]]]
+        used += len(sums)
+
+    def below(sizes) -> np.ndarray:
+        """For each number up to twice the capacity, the largest of the sizes that isn't above it, or 0."""
+        out = np.zeros(2 * capacity + 1, np.int64)
+        out[list(sizes)] = list(sizes)
+        return np.maximum.accumulate(out)
 
     def change(low: int, high: int, out: list[int], back: list[int]) -> None:
         """Items `out` of bin low go to bin high and `back` come from there."""
-        for b in (low, high):
-            under.pop(bisect_left(under, (fill[b], b)))
         d = sum(lengths[k] for k in out) - sum(lengths[k] for k in back)
         bins[low] = [k for k in bins[low] if k not in out] + back
         bins[high] = [k for k in bins[high] if k not in back] + out
-        fill[low] -= d
-        fill[high] += d
+        room[low] += d
+        room[high] -= d
+        item_bin[place[out]], item_bin[place[back]] = high, low
         for b in (low, high):
-            if 0 < fill[b] < capacity:
-                insort(under, (fill[b], b))
-
-    def move(place: int) -> bool:
-        """The largest item of the bin that fits goes to the fullest other bin that has room for it."""
-        low = under[place][1]
-        for k in sorted(bins[low], key=lambda k: -lengths[k]):
-            other = bisect_left(under, (capacity - lengths[k] + 1, -1)) - 1
-            if other > place:
-                change(low, under[other][1], [k], [])
-                return True
-        return False
-
-    def exchange(place: int) -> bool:
-        """The exchange that takes most from the bin, to one at least as full: one or two of its items for one, or one for two."""
-        low = under[place][1]
-        items = bins[low]
-        singles = {lengths[k]: [k] for k in items}
-        pairs = {lengths[a] + lengths[b]: [a, b] for i, a in enumerate(items) for b in items[i + 1 :]}
-        best: tuple[int, int, list[int], list[int]] = 0, 0, [], []
-        for at, high in under[place + 1 : place + 1 + REACH]:
-            room = capacity - at
-            if room <= best[0]:
-                break
-            theirs = sorted({lengths[k]: k for k in bins[high]}.items())
-            two = [(a + b, [j, k]) for i, (a, j) in enumerate(theirs) for b, k in theirs[i + 1 :]]
-            for mine, given in ((singles, [(s, [k]) for s, k in theirs]), (pairs, [(s, [k]) for s, k in theirs]), (singles, sorted(two))):
-                sizes = [s for s, _ in given]
-                for size, out in mine.items():
-                    j = bisect_left(sizes, size - room)
-                    if j < len(sizes) and size - sizes[j] > best[0]:
-                        best = size - sizes[j], high, out, given[j][1]
-        if best[0]:
-            change(low, best[1], best[2], best[3])
-        return best[0] > 0
-
-    place = 0  # the emptiest bins, one after the other; back to the first after each success
-    while left > fewest and place < len(under) - 1 and steps:
-        steps -= 1
-        low = under[place][1]
-        if move(place) or exchange(place):
-            place = 0
-            left -= fill[low] == 0
-        else:
-            place += 1
+            version[b] += 1
+            note(b)
+
+    def move(low: int) -> int:
+        """The largest item of the bin that fits goes to the fullest other bin that has room for it. That bin, or -1."""
+        others = np.flatnonzero((room <= room[low]) & (room > 0))
+        others = others[others != low]
+        if len(others):
+            most = int(room[others].max())
+            for k in sorted(bins[low], key=lambda k: -lengths[k]):
+                if lengths[k] <= most:
+                    fits = others[room[others] >= lengths[k]]
+                    high = int(fits[room[fits].argmin()])
+                    change(low, high, [k], [])
+                    return high
+        return -1
+
+    def exchange(low: int) -> int:
+        """The exchange that takes most from the bin, to one at least as full: one or two of its items for one, or one for two. That bin, or -1."""
+        one, two = {lengths[k]: [k] for k in bins[low]}, of_two(low)
+        best: tuple[int, int, int, bool] = 0, 0, 0, False
+        for given, where, sizes, double in ((item_size, item_bin, {*one, *two}, False), (pairs[0, :used], pairs[1, :used], set(one), True)):
+            if not len(given):
+                continue
+            free = room[where]
+            gain = below(sizes)[given + free] - given
+            gain[(free > room[low]) | (where == low) | (double and pairs[2, :used] != version[where])] = 0
+            k = int(gain.argmax())
+            if gain[k] > best[0]:
+                best = int(gain[k]), int(where[k]), int(given[k]), double
+        d, high, back, double = best
+        if not d:
+            return -1
+        theirs = of_two(high) if double else {lengths[k]: [k] for k in bins[high]}
+        change(low, high, one.get(back + d) or two[back + d], theirs[back])
+        return high
+
+    def helped(b: int) -> np.ndarray:
+        """Bins that could now give something to bin b."""
+        theirs = {lengths[k] for k in bins[b]}
+        can = []
+        for given, sizes, where in (({0, *theirs, *of_two(b)}, item_size, item_bin), (theirs, pairs[0, :used], pairs[1, :used])):
+            # a size goes if something less than it, by the bin's room at most, comes back
+            start = np.zeros(3 * capacity + 2, np.int64)
+            for g in given:
+                start[g + 1] += 1
+                start[g + 1 + room[b]] -= 1
+            can.append(where[(start.cumsum() > 0)[sizes] & (room[where] >= room[b])])
+        # a pair of an older version may be among them: a bin that is looked at in vain
+        return np.unique(np.concatenate(can))
+
+    for b in np.unique(item_bin).tolist():
+        note(b)
+    waiting = {*np.unique(item_bin).tolist()}
+    queue = [(-int(room[b]), b) for b in waiting]
+    heapify(queue)
+    while left > fewest and queue:
+        r, low = heappop(queue)  # the emptiest first
+        if low not in waiting or -r != room[low]:
+            continue
+        high = move(low)
+        if high < 0:
+            high = exchange(low)
+        if high < 0:
+            waiting.discard(low)
+            continue
+        left -= not bins[low]
+        for b in {low, high, *(x for y in (low, high) if bins[y] and room[y] for x in helped(y).tolist())}:
+            if bins[b] and room[b]:
+                if b not in waiting or b in (low, high):
+                    heappush(queue, (-int(room[b]), b))
+                waiting.add(b)
+            else:
+                waiting.discard(b)
+        if not bins[low]:
+            room[low] = 0  # an emptied bin takes nothing
     return [b for b in bins if b]
 
 

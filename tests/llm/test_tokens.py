@@ -132,3 +132,26 @@ def test_search_exchanges():
     rng = np.random.default_rng(0)
     lengths = rng.integers(9, 26, 200).tolist()
     assert len(P.local_search(lengths, [[k, k + 1] for k in range(0, 200, 2)], 51)) < 90
+
+
+def helps(lengths, bins, capacity):
+    """A move or exchange between underfull bins, to one at least as full, that raises the sum of squared fills; found by trying all."""
+    fill = [sum(lengths[k] for k in b) for b in bins]
+    ones = [{lengths[k] for k in b} for b in bins]
+    twos = [{lengths[j] + lengths[k] for i, j in enumerate(b) for k in b[i + 1 :]} for b in bins]
+    for low in range(len(bins)):
+        for high in range(len(bins)):
+            if low != high and fill[low] <= fill[high] < capacity:
+                tries = [(ones[low], {0} | ones[high] | twos[high]), (twos[low], ones[high])]
+                for mine, theirs in tries:
+                    if any(0 < s - g <= capacity - fill[high] for s in mine for g in theirs):
+                        return low, high
+    return None
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(1100, 1900, 600), (900, 2000, 300), (700, 3000, 300), (200, 2500, 200)])
+def test_search_ends_at_a_local_optimum(low, high, n):
+    lengths = [int(x) for x in np.random.default_rng(n).integers(low, high, n)]
+    bins = P.pack(lengths, 4096)
+    assert sorted(k for b in bins for k in b) == list(range(n)) and max(sum(lengths[k] for k in b) for b in bins) <= 4096
+    assert len(bins) == -(-sum(lengths) // 4096) or helps(lengths, bins, 4096) is None
