@@ -180,11 +180,11 @@ _ASSIGNED = frozenset(("password", "passwd", "pwd", "token", "api_key", "secret"
 def features(word: str) -> list[int]:
     """Hashed features of a word's shape."""
     bare = word.strip(_PUNCTUATION)
-    shape = re.sub(r"[^\W\d_]", "x", re.sub(r"[0-9]", "9", bare[:64]))
+    shape = re.sub(r"[^\W\d_]", "x", re.sub(r"[0-9]", "9", bare))
     short = re.sub(r"(.)\1+", r"\1", shape)
-    digits, hexes = sum(c == "9" for c in shape), sum(c in "0123456789abcdef" for c in bare[:64])
+    digits = shape.count("9")
     value = bare[bare.find("=") + 1 :]
-    mixed = any(c.isdigit() for c in value[:64]) and any(c.isalpha() for c in value[:64])
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     said = [
         "bias",
         "short " + short[:16],
@@ -192,8 +192,9 @@ def features(word: str) -> list[int]:
         f"length {min(len(bare) // 4, 8)}",
         f"edge {word[:1] if not word[:1].isalnum() else ''}",
         f"mixed {mixed} {min(len(value) // 6, 5)}",
-        f"hex {len(bare) >= 12 and hexes == len(bare)} {mixed}",
+        f"hex {len(bare) >= 12 and _HEX.fullmatch(bare) is not None} {mixed}",
     ]
+    said += [f"on {run}" for run in sorted({short[k : k + 16] for k in range(16, len(short), 16)})]
     said += [f"has {c} {mixed}" for c in "@=+_" if c in bare]
     if (low := bare.lower().rstrip("s")) in _NAMES:
         said.append("word " + low)
