@@ -256,7 +256,7 @@ class WordTable:
         self.pool[self.used : self.used + len(flat)] = flat
         places = np.uint64(self.used) + np.cumsum(counts, dtype=np.uint64) - counts
         self.used += len(flat)
-        return (places << np.uint64(20) | counts) + np.uint64(1)
+        return (places << np.uint64(32) | counts) + np.uint64(1)
 
     def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
         """keys: all different and not in the table."""
@@ -302,10 +302,10 @@ class WordTable:
             found[lacking] = places[back.ravel()]
         value[short] = found
         value -= np.uint64(1)
-        counts = (value & np.uint64((1 << 20) - 1)).astype(np.int64)
+        counts = (value & np.uint64((1 << 32) - 1)).astype(np.int64)
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat((value >> np.uint64(20)).astype(np.int64) - ends + counts, counts) + np.arange(total)
+        source = np.repeat((value >> np.uint64(32)).astype(np.int64) - ends + counts, counts) + np.arange(total)
         flat = self.pool[source].tobytes()
         if full:  # what isn't in the table is forgotten
             self.used = kept

@@ -48,6 +48,15 @@ def test_small_table_starts_anew(monkeypatch):
     assert got == library(FILES[0], texts)
 
 
+def test_word_of_very_many_ids():
+    """A word's number of ids doesn't run into its place; each letter is an id here."""
+    table, long = tokens.WordTable(False), "xy" * (1 << 19) + "z"
+    library = lambda words: [np.asarray([ord(c) for c in w.strip()], "<u4").tobytes() for w in words]
+    for _ in range(2):  # the second time out of the table
+        got = [np.frombuffer(x, "<u4") for x in table.encode([b"ab", long.encode(), b"cd"], library)]
+        assert ["".join(map(chr, x)) == t for x, t in zip(got, ["ab", long, "cd"], strict=True)] == [True] * 3
+
+
 def test_full_table_takes_no_more(monkeypatch):
     monkeypatch.setattr(tokens, "WORDS", 5)
     monkeypatch.setattr(tokens, "DRIFT", 0.9)
