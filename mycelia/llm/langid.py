@@ -34,9 +34,14 @@ SAMPLE = 500
 SAMPLE_WINDOWS = 4
 UNDEFINED = "und"
 
+# letters and numerals such as ² or Ⅷ
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
@@ -153,15 +158,15 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, batch: int =
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = SAMPLE) -> list[tuple[bytes, str]]:
-    """A bounded sample of labelled texts: windows of whole documents chosen by a hash of the id. docs: rows to be learned from."""
-    known = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(label_col).cast("string").alias("label"))
+    """A bounded sample of labelled texts: windows of whole documents chosen by a hash of id and text, equal ones once. docs: rows to be learned from."""
+    known = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(label_col).cast("string").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, per_label / n))])
     spread = (F.octet_length("text") / SAMPLE_WINDOWS).cast("int")
     pieces = F.when(F.octet_length("text") <= SAMPLE_WINDOWS * WINDOW, F.array(F.col("text"))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.substring(F.col("text"), k * spread + 1, F.lit(WINDOW))))
-    chosen = known.filter(hashed_share("id", F.element_at(share, F.col("label")))).select("id", "label", F.posexplode(pieces).alias("k", "piece"))
+    chosen = known.filter(hashed_share("id", F.element_at(share, F.col("label")))).select("id", "label", F.posexplode(pieces).alias("k", "piece")).distinct()
     return [(bytes(r["piece"]), r["label"]) for r in chosen.orderBy("id", "k", "piece").collect()]
 
 
@@ -171,7 +176,7 @@ def _predict(names: list[str], net: ByteNet | None):
             for some, texts in batches(batch, 2):
                 said = [UNDEFINED] * len(texts)
                 score = np.zeros(len(texts))
-                live = [k for k, t in enumerate(texts) if net and _LETTER.search(t)]
+                live = [k for k, t in enumerate(texts) if net and has_letter(t)]
                 if live:
                     data = [texts[k].encode("utf-8", "replace") for k in live]
                     counts = np.asarray([-(-len(t) // WINDOW) for t in data])
