@@ -1,7 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 A word's input is its own embedding, if it is frequent enough in the sample,
-and the mean embedding of its hashed character trigrams. A word of more than
+the mean embedding of its hashed character trigrams, and the embedding of its
+hashed first bytes, by which words of one stem know each other. A word of more than
 24 bytes is cut at its joiners (slashes, dashes, punctuation), and what is
 still longer into overlapping runs of at most 24 bytes; each of these parts is
 an input of its own, so that texts without spaces are read whole. The network
@@ -15,8 +16,8 @@ says only that some window is toxic, and by another one.
 
 Defined results. Null or empty texts are one window of padding and get its
 score. A null id counts as an empty string for the split into folds. Labels
-that are null, or of unknown documents, are not learned from; several labels
-of a document count as separate examples. With no labels at all, or only one
+that are null, or of unknown documents, are not learned from; different labels
+of a text count as separate examples, equal ones as one. With no labels at all, or only one
 kind, every score is the share of toxic labels, 0 if there are none. Repeated
 rows get the same score. An empty table gives an empty result. Other columns
 are ignored.
@@ -40,10 +41,14 @@ from .tokens import batches
 
 WINDOW, STRIDE = 32, 24
 WORD, CHAR, TRIGRAMS, HIDDEN, ATTEND = 8, 8, 4096, 8, 8
+#: A word's first bytes have an embedding too, of so many, by their hash.
+STEM_BYTES, STEM, STEMS = 5, 8, 8192
 #: Bytes of an input at most, and by how much the runs of a longer part of a word overlap at least.
 WORD_BYTES, WORD_OVERLAP = 24, 8
 #: About so many labelled documents of either kind are learned from, chosen by a hash of their id.
 SAMPLE = 1500
+#: and of a text of more bytes than this so many stretches of equal length, spread over the whole of it.
+SAMPLE_BYTES, STRETCHES = 20_000, 10
 #: A word has an embedding of its own if so many documents of the sample, and this share of them, have it.
 FREQUENT, FREQUENT_SHARE = 12, 0.01
 #: Share of words that are hidden from the network in training.
@@ -86,13 +91,14 @@ def starts(n: int) -> range:
     return range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
-def trigram_sums(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of words of at most WORD_BYTES bytes, (word, place), and which places are used."""
+def characters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words of at most WORD_BYTES bytes: hashed trigrams (word, place), which places are used, and hashed first bytes."""
     padded = [b"^" + w.encode("utf-8", "replace") + b"$" for w in words]
     width = WORD_BYTES + 2
     raw = np.array(padded, dtype=f"S{width}").view(np.uint8).reshape(len(words), width).astype(np.int32)
     grams = (raw[:, :-2] * 7919 + raw[:, 1:-1] * 104729 + raw[:, 2:] * 1299709) % TRIGRAMS
-    return grams, raw[:, 2:] > 0
+    stem = raw[:, 1 : 1 + STEM_BYTES].astype(np.int64) @ (31337 ** np.arange(STEM_BYTES) % 1_000_003)
+    return grams, raw[:, 2:] > 0, stem % STEMS
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,8 +115,8 @@ class Net:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
         self.rows = {w: k + 2 for k, w in enumerate(vocabulary)}
-        d, h = WORD + CHAR, HIDDEN
-        self.p = {"word": draw(len(vocabulary) + 2, WORD, scale=0.3), "char": draw(TRIGRAMS, CHAR, scale=0.3), "attend": draw(2 * h, ATTEND, scale=0.3), "query": draw(ATTEND, scale=0.3), "out": draw(2 * h, scale=0.3), "bias": np.zeros(1, np.float32)}
+        d, h = WORD + CHAR + STEM, HIDDEN
+        self.p = {"word": draw(len(vocabulary) + 2, WORD, scale=0.3), "char": draw(TRIGRAMS, CHAR, scale=0.3), "stem": draw(STEMS, STEM, scale=0.3), "attend": draw(2 * h, ATTEND, scale=0.3), "query": draw(ATTEND, scale=0.3), "out": draw(2 * h, scale=0.3), "bias": np.zeros(1, np.float32)}
         for side in "fb":
             self.p |= {f"w{side}": draw(d, 3 * h, scale=d**-0.5), f"u{side}": draw(h, 3 * h, scale=h**-0.5), f"c{side}": np.zeros(3 * h, np.float32)}
         self.prior = 0.0
@@ -120,16 +126,16 @@ class Net:
         own, some = self.rows.get(word, 1), subwords(word)
         return [(own, word)] if len(some) == 1 else [(own if own > 1 else self.rows.get(normal(s), 1), s) for s in some]
 
-    def inputs(self, parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, trigrams and used trigrams of parts."""
-        return np.asarray([row for row, _ in parts]), *trigram_sums([s for _, s in parts])
+    def inputs(self, parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, trigrams, used trigrams and first bytes of parts."""
+        return np.asarray([row for row, _ in parts]), *characters([s for _, s in parts])
 
-    def embed(self, row: np.ndarray, grams: np.ndarray, used: np.ndarray) -> np.ndarray:
+    def embed(self, row: np.ndarray, grams: np.ndarray, used: np.ndarray, stem: np.ndarray) -> np.ndarray:
         n = np.maximum(used.sum(1, keepdims=True), 1).astype(np.float32)
         chars = np.zeros((len(row), CHAR), self.p["char"].dtype)
         for k in range(0, len(row), 8192):  # the trigrams' embeddings of all words at once would be large
             chars[k : k + 8192] = (self.p["char"][grams[k : k + 8192]] * used[k : k + 8192, :, None]).sum(1)
-        return np.concatenate([self.p["word"][row], chars / n], axis=1)
+        return np.concatenate([self.p["word"][row], chars / n, self.p["stem"][stem]], axis=1)
 
     def _run(self, gates: np.ndarray, live: np.ndarray, side: str, keep: bool):
         """gates: (time, window, 3 * hidden) from the inputs; live: (time, window, 1). States, and what the way back needs."""
@@ -226,7 +232,7 @@ def cut(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(live, begin[own][:, None] + place, 0), live, counts
 
 
-def train(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 6, batch: int = 64, seed: int = 0) -> Net:
+def train(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 8, batch: int = 64, seed: int = 0) -> Net:
     """share: of toxic texts where the sample comes from, if the sample has another; scores are calibrated to it."""
     words = [[normal(w) for w in t.split()] for t in texts]
     # parts of long words count as words, and so does a long word as a whole
@@ -240,7 +246,7 @@ def train(texts: list[str], labels: list[int], share: float | None = None, round
     inputs = [[part for w in ws for part in net.parts(w)] for ws in words]
     names = sorted({part for parts in inputs for part in parts} | set(net.parts("")))
     number = {part: k for k, part in enumerate(names)}
-    row, grams, used = net.inputs(names)
+    row, grams, used, stem = net.inputs(names)
     flat = np.asarray([number[part] for parts in inputs for part in parts] or [0])
     place, live, counts = cut(np.asarray([len(parts) for parts in inputs]))
     ids = flat[place]
@@ -250,7 +256,7 @@ def train(texts: list[str], labels: list[int], share: float | None = None, round
     for turn in range(rounds):
         if turn >= rounds - 2:
             best.rate = 0.003
-        x = net.embed(row, grams, used)
+        x = net.embed(row, grams, used, stem)
         table = np.concatenate([x @ net.p[f"w{side}"] + net.p[f"c{side}"] for side in "fb"], axis=1)
         scores = net.score_windows(table, ids, live) + rng.random(len(ids)) * (1 if turn == 0 else 1e-6)
         top = np.asarray([e - n + int(scores[e - n : e].argmax()) for e, n in zip(ends, counts, strict=True)])
@@ -264,16 +270,17 @@ def train(texts: list[str], labels: list[int], share: float | None = None, round
             w = ids[chosen[some]].T
             kinds, at = np.unique(w, return_inverse=True)
             at = at.reshape(w.shape)
-            x = net.embed(row[kinds], grams[kinds], used[kinds])
+            x = net.embed(row[kinds], grams[kinds], used[kinds], stem[kinds])
             shown = (rng.random((*at.shape, 1)) >= HIDE).astype(np.float32)
             _, g, d_x = net.gradients(x[at] * shown, live[chosen[some]].T, target[some])
             d_x *= shown
             d_kind = np.zeros_like(x)
             np.add.at(d_kind, at, d_x)
-            g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
+            g |= {name: np.zeros_like(net.p[name]) for name in ("word", "char", "stem")}
             np.add.at(g["word"], row[kinds], d_kind[:, :WORD])
             n = np.maximum(used[kinds].sum(1), 1)
-            np.add.at(g["char"], grams[kinds], d_kind[:, None, WORD:] / n[:, None, None] * used[kinds][:, :, None])
+            np.add.at(g["stem"], stem[kinds], d_kind[:, WORD + CHAR :])
+            np.add.at(g["char"], grams[kinds], d_kind[:, None, WORD : WORD + CHAR] / n[:, None, None] * used[kinds][:, :, None])
             best.step(g)
     if share is not None and 0 < share < 1:
         net.p["bias"][0] += np.log(share / (1 - share)) - np.log(net.prior / (1 - net.prior))
@@ -360,16 +367,24 @@ def _score(net: Net):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_kind: int = SAMPLE) -> tuple[list[str], list[int], float]:
-    """Texts and labels of a bounded number of documents of either kind, chosen by a hash of the id, and the share of toxic labels in all."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    """Texts and labels of a bounded number of documents of either kind, chosen by a hash of the id, and the share of toxic labels in all.
+
+    Of a long text, stretches spread over all of it; an id that many rows have
+    brings no more than the bound.
+    """
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts:
         return [], [], 0.0
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, per_kind / n))])
-    # about 2 * per_kind ids, whatever the table's size
+    # about 2 * per_kind different ids, whatever the table's size
     chosen = known.filter(hashed_share("id", F.element_at(share, F.col("label"))))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    found = sorted({(r["text"], r["label"]) for r in texts.collect()})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = SAMPLE_BYTES // STRETCHES // 4
+    spread = (F.length(text) / STRETCHES).cast("int")
+    stretches = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(text, k * spread + 1, F.lit(size))))
+    texts = docs.select(F.col(id_col).alias("id"), F.when(F.octet_length(text) <= SAMPLE_BYTES, text).otherwise(stretches).alias("text")).join(F.broadcast(chosen), "id").select("text", "label").distinct()
+    found = sorted((r["text"], r["label"]) for r in texts.orderBy(F.xxhash64("text", "label")).limit(4 * per_kind).collect())
     return [t for t, _ in found], [y for _, y in found], counts.get(1, 0) / sum(counts.values())
 
 
@@ -406,5 +421,5 @@ def without_toxic(docs: DataFrame, net: Net, text_col: str = "text", threshold:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a score of THRESHOLD or more go."""
+    """Pipeline stage: rows with a score of THRESHOLD or more go. A row's own text decides, whatever its id: null and repeated ids need no care; null text is scored as empty text."""
     return without_toxic(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
