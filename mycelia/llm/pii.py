@@ -389,7 +389,7 @@ def _valid(kind: str, found: str) -> bool:
 
 
 def _address(found: str) -> bool:
-    return found.count(".") == 3 and all(x.isascii() and x.isdigit() and len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in found.split("."))
+    return found.count(".") == 3 and all(x.isascii() and x.isdigit() and len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in found.split("."))
 
 
 def _added(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:

@@ -15,7 +15,7 @@ def odd(spark):
 
     rng = np.random.default_rng(5)
     long = prose(rng, 30_000)
-    texts = [None, "", " ", "\n\n", "a", "the same text", "the same text", "ünï cödé 中文 🙂 ▁", "x" * 5000, "tab\tand\r\nline\x00nul", long, long[:-5] + "other", "don't 'quote' it's", "0 1 22 333", prose(rng, 400)]
+    texts = [None, "", " ", "\n\n", "a", "the same text", "the same text", "ünï cödé 中文 🙂 ▁", "x" * 5000, "tab\tand\r\nline\x00nul", long, long[:-5] + "other", "don't 'quote' it's", "0 1 22 333", prose(rng, 400), "0" * 5000 + ".1.1.1 and 1.2.3." + "0" * 4400, "go <|endoftext|> on <|startoftext|>"]
     rows = [(k, t, "en" if k % 2 else None, None if k % 3 else "src", None if t is None else len(t)) for k, t in enumerate(texts)]
     rows += [rows[5], (None, "no id", None, None, 5), (None, None, None, None, None), (2**62, "big id", "de", "s", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
