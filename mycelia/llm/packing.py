@@ -35,9 +35,9 @@ CAPACITY = 4096
 GROUP = 16_384
 
 
-def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
+def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool, special: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(tokenizer_path(tokenizer)), np.asarray([end_id], "<u4").tobytes()
+        own, end = encoder(tokenizer_path(tokenizer), special), np.asarray([end_id], "<u4").tobytes()
         for batch in rows:
             for some, texts in batches(batch, 1):
                 at, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -59,10 +59,10 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     return resting(run)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
+def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = True) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves. special: whether special tokens' strings in a text are those tokens."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))).mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), schema)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))).mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids, special), schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -36,10 +36,10 @@ def lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
 
 
-def _encode(tokenizer: str, end_id: int):
+def _encode(tokenizer: str, end_id: int, special: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, end = TaskContext.get().partitionId(), 0, np.asarray([end_id], "<u4").tobytes()
-        own = encoder(tokenizer_path(tokenizer))
+        own = encoder(tokenizer_path(tokenizer), special)
         for batch in rows:
             for some, texts in batches(batch, 1):
                 ids = [x + end for x in own.encode(texts)]
@@ -51,10 +51,10 @@ def _encode(tokenizer: str, end_id: int):
     return resting(run)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000, special: bool = True) -> None:
     """Encode and write all documents. The number of files is that of the session's shuffle partitions, or fewer if they are small."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = in_batches(rows).mapInArrow(_encode(tokenizer, end_id), ROWS)
+    encoded = in_batches(rows).mapInArrow(_encode(tokenizer, end_id, special), ROWS)
     encoded.write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(row_index_stride)).option("orc.create.index", "true").orc(path)
 
 

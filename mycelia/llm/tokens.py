@@ -7,7 +7,9 @@ cache per Python worker. Plain texts are split and looked up with array
 operations, others piece by piece, and a text with characters whose classes
 depend on the version of Unicode is given to the library whole.
 
-Strings of special tokens in a text are ordinary text.
+Strings of special tokens in a text, such as <|endoftext|>, are those tokens, as
+the library has it by default; with special=False they are ordinary text. A
+text with what such strings begin with is given to the library whole.
 """
 
 from __future__ import annotations
@@ -56,20 +58,25 @@ class Recent:
 class Encoder:
     """encode(texts) gives each text's ids as bytes, unsigned 32-bit little-endian. Texts are split by WordTable if it can, else by the regular expression."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         steps = [x["type"] for x in (norm or {}).get("normalizers", [])]
         splits = pre.get("pretokenizers") or [{}]
         self.kind = "library"
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+        added = spec.get("added_tokens") or []
+        begins = os.path.commonprefix([x["content"] for x in added])
+        self.marks = ([begins] if len(begins) > 1 else [x["content"] for x in added]) if special else []
+        if any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in added) and special:
+            pass  # such tokens can be more than their strings
+        elif pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.kind, self.split = "spaced", regex.compile(_GPT2).findall
         elif steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and not splits[1]["use_regex"]:
             self.kind, self.split = "lowered", regex.compile(splits[0]["pattern"]["Regex"]).findall
@@ -89,7 +96,7 @@ class Encoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """Pieces to be encoded on their own; none if the text has to be taken whole."""
-        if self.kind == "library" or not (plain := _plain(text)) and _STRANGE.search(text):
+        if self.kind == "library" or any(m in text for m in self.marks) or not (plain := _plain(text)) and _STRANGE.search(text):
             return None
         if self.kind == "lowered":
             return text.lower().split()
@@ -122,6 +129,9 @@ class Encoder:
             return []
         out: list[bytes | None] = [None] * len(texts)
         common = np.zeros(len(texts), bool) if self.kind == "library" else self.table.common(texts)
+        for mark in self.marks:
+            own = mark.encode()
+            common &= np.asarray([own not in t for t in texts])
         rare = np.flatnonzero(~common).tolist()
         for k, ids in zip(rare, self._uncommon([texts[k].decode("utf-8", "replace") for k in rare]), strict=True):
             out[k] = ids
@@ -333,15 +343,15 @@ def batches(batch, text: int, chars: int = BATCH_CHARS):
         start = stop
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file."""
+def encoder(path: str, special: bool = True) -> Encoder:
+    """One encoder per worker, file and setting."""
     gc.disable()  # nothing here is cyclic, and each collection would walk the caches
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
 
 
 def tokenizer_path(name: str) -> str:

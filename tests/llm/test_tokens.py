@@ -13,16 +13,18 @@ from mycelia.llm.tokens import tokenizer_path
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
 
-def library(name, texts):
+def library(name, texts, special=True):
+    """The library's own call, by default with nothing set."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
+    if not special:
+        t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def ours(name, texts):
-    return [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(tokenizer_path(name)).encode([(t or "").encode() for t in texts])]
+def ours(name, texts, special=True):
+    return [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(tokenizer_path(name), special).encode([(t or "").encode() for t in texts])]
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -32,6 +34,23 @@ def test_ids_of_odd_texts(name):
         assert ours(name, texts) == library(name, texts)
 
 
+@pytest.mark.parametrize("special", [True, False])
+@pytest.mark.parametrize("name", FILES)
+def test_strings_of_special_tokens(name, special):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "<| a |>", "é<|endoftext|>中", "it's <|endoftext|><|endoftext|>\n\n", "plain"]
+    for _ in range(2):
+        assert ours(name, texts, special) == library(name, texts, special)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_word_above_two_to_the_twenty_ids(name):
+    """The library itself gives this word that many ids."""
+    texts = ["ab cd", "qjxz" * 400_000, "ab cd"]
+    want = library(name, texts)
+    assert len(want[1]) > 1 << 20
+    assert ours(name, texts) == want
+
+
 @pytest.mark.parametrize("name", FILES)
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet="aB é1Ü.,9 \nñ-ß'Œ\t×ɏ中", max_size=30), max_size=6))
