@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from mycelia.session import checkpoint_dir
 
-#: An id set of up to this many rows is broadcast (8 bytes a row); a larger one is shuffled.
-BROADCAST_IDS = 1_000_000
+#: A set of keys of up to this many rows (some 100 bytes each) is broadcast.
+BROADCAST_ROWS = 200_000
+#: Bits in one row of a filter, as Spark's bitmap functions define it, and how many rows of 4 KB a filter has at most.
+BITMAP_BITS, MAX_BITMAPS = 32768, 4096
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -72,11 +74,47 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def bounded_ids(ids: DataFrame) -> DataFrame:
-    """Broadcast an id set only after counting it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def bit_of(key: Column, buckets: int) -> tuple[Column, Column]:
+    """Where a key stands in a filter of so many bitmaps: bitmap number and bit."""
+    place = F.pmod(F.xxhash64(key), F.lit(buckets * BITMAP_BITS).cast("long"))
+    return F.floor(place / BITMAP_BITS).cast("long"), (place % BITMAP_BITS).cast("int")
 
 
-def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is not in ids. A null key is never in ids."""
-    return df.join(bounded_ids(ids.select(key).checkpoint()), key, "left_anti")
+def bitmap_count(n: int, limit: int = MAX_BITMAPS) -> int:
+    """Bitmaps of a filter of n keys: 16 bits each, within the limit."""
+    buckets = 1
+    while 2 * buckets <= limit and buckets * BITMAP_BITS < 16 * n:
+        buckets *= 2
+    return buckets
+
+
+def has_bit(bits: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, bit % 8) == 1
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """rows with `__maybe`: false if the key isn't in keys (n rows). The filter has at most MAX_BITMAPS rows of 4 KB, whatever n is."""
+    buckets = bitmap_count(n)
+    bucket, bit = bit_of(F.col(key), buckets)
+    maps = keys.select(bucket.alias("__bucket"), bit.cast("long").alias("__bit")).groupBy("__bucket").agg(F.expr("bitmap_construct_agg(__bit)").alias("__bits"))
+    joined = rows.withColumn("__bucket", bucket).withColumn("__bit", bit).join(F.broadcast(maps), "__bucket", "left")
+    return joined.withColumn("__maybe", F.coalesce(has_bit(F.col("__bits"), F.col("__bit")), F.lit(False))).drop("__bucket", "__bit", "__bits")
+
+
+def without_rows(df: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of df whose keys, all of them and null-safe, are not those of a row of gone. keys: gone's columns and what they are in df.
+
+    Up to BROADCAST_ROWS rows of gone are broadcast, after they are counted.
+    With more, only rows of df that a filter lets pass are shuffled.
+    """
+    names = {c: f"__key_{c}" for c in keys}
+    gone = gone.select(*[F.col(c).alias(f"__gone_{c}") for c in keys]).distinct().checkpoint()
+    n = gone.count()
+    rows = df.withColumns({names[c]: v for c, v in keys.items()})
+    same = [F.col(names[c]).eqNullSafe(F.col(f"__gone_{c}")) for c in keys]
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), same, "left_anti").select(*df.columns)
+    whole = F.xxhash64(*names.values())
+    probed = maybe_in(rows.withColumn("__whole", whole), "__whole", gone.select(F.xxhash64(*[f"__gone_{c}" for c in keys]).alias("__whole")), n)
+    return probed.filter("NOT __maybe").select(*df.columns).unionByName(probed.filter("__maybe").join(gone, same, "left_anti").select(*df.columns))

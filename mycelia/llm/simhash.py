@@ -26,70 +26,95 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mycelia.operators.components import connected_components, forest
 
-from .common import documents, in_batches, resting, without_ids
+from .common import documents, in_batches, resting, without_rows
 from .tokens import batches
 
 RADIUS, SHINGLE = 3, 3
 #: Different fingerprints in a bucket up to which they are compared in one task; larger buckets are split.
 BUCKET = 4096
-#: Shingles hashed before their bits are summed; 64 bytes each.
-STEP = 200_000
+#: Shingles hashed before their bits are summed, 64 bytes each; and bytes of a text that are split into words at once.
+STEP, STRETCH = 100_000, 1 << 20
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _stretches(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of a text in stretches of some STRETCH bytes; each but the first begins with the last size - 1 words of the one before."""
+    kept: list[bytes] = []
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + STRETCH)
+        end = gap.start() if gap else len(text)
+        words = kept + text[at:end].lower().split()
+        yield words
+        kept = words[1 - size :] if size > 1 else []
+        at = end
 
 
 def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Fingerprints as signed 64-bit integers."""
+    """Fingerprints as signed 64-bit integers. Bits are added up every STEP shingles, within a text too."""
     from xxhash import xxh64_intdigest as digest
 
-    out = np.zeros(len(texts), np.uint64)
+    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     owners: list[tuple[int, int]] = []  # text, number of its shingles
 
     def flush() -> None:
         if owners:
-            n = np.asarray([n for _, n in owners])
+            k, n = np.asarray(owners).T
             bits = np.unpackbits(np.asarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.uint32)
-            out[[k for k, _ in owners]] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            np.add.at(ones, k, np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.uint32))
+            np.add.at(total, k, n)
         hashes.clear()
         owners.clear()
 
     for k, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
-            continue
-        joined = b" ".join(words)
-        if len(words) <= size:
-            hashes.append(digest(joined, 42))
-            owners.append((k, 1))
-        else:
+        few: list[bytes] | None = []  # the words so far, while they are too few for a shingle
+        for words in _stretches(text, size):
+            if len(words) < size:
+                few = few if few is None else words
+                continue
+            few = None
+            joined = b" ".join(words)
             ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
             starts = [0, *(e + 1 for e in ends[:-size])]
             hashes.extend([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :], strict=True)])
             owners.append((k, len(words) - size + 1))
-        if len(hashes) > STEP:
-            flush()
+            if len(hashes) > STEP:
+                flush()
+        if few:
+            hashes.append(digest(b" ".join(few), 42))
+            owners.append((k, 1))
     flush()
-    return out.view(np.int64)
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
 
 
 def _fingerprint(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for some, texts in batches(batch, 1):
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fingerprints(texts))], ["doc_id", "fp"])
+            names = [*(n for n in some.schema.names if n != "text"), "fp"]
+            yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(some.num_columns) if k != 1), pa.array(fingerprints(texts))], names)
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))).mapInArrow(resting(_fingerprint), "doc_id long, fp long")
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp and, if asked for, the text's SHA-256."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *([digest_of(F.col(text_col)).alias("digest")] if digest else []))
+    return in_batches(rows).mapInArrow(resting(_fingerprint), "doc_id long, " + "digest binary, " * digest + "fp long")
 
 
 def masks(free: int, radius: int = RADIUS, seed: int = 1) -> list[int]:
@@ -185,19 +210,19 @@ def _deeper(nodes: DataFrame, depth: int, radius: int) -> DataFrame:
     return rows.select("fp", "table", F.col("fp").bitwiseAND(F.get(F.lit(level), F.col("table"))).alias("key"))
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), component_id."""
-    rows = with_fingerprints(docs, id_col, text_col).checkpoint()
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET, digest: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, fp (long), component_id, root (a fingerprint that stands for the component) and, if asked for, digest."""
+    rows = with_fingerprints(docs, id_col, text_col, digest).checkpoint()
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
     # written before they are contracted: a task with both steps would need two Python workers
     links = near_links(nodes, radius, bucket).checkpoint()
     labels = connected_components(links).checkpoint()
     in_groups = nodes.join(labels.withColumnRenamed("id", "fp"), "fp")
     firsts = in_groups.groupBy("component").agg(F.min("first_id").alias("component_id")).checkpoint()
-    named = labels.join(firsts, "component").select(F.col("id").alias("fp"), "component_id")
+    named = labels.join(firsts, "component").select(F.col("id").alias("fp"), "component_id", F.col("component").alias("root"))
     # like firsts, read back from files: a join of two exchanges can split a fingerprint or group with very many rows
-    of_node = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")).checkpoint()
-    return rows.join(of_node, "fp").select("doc_id", "fp", "component_id")
+    of_node = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")).checkpoint()
+    return rows.join(of_node, "fp").select("doc_id", "fp", "component_id", "root", *(["digest"] if digest else []))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +230,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays."""
-    dropped = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return without_ids(docs, dropped)
+    """Pipeline stage: of each group the row with the smallest id stays, of several with that id the one with the smallest digest.
+
+    Rows are decided on one by one, by id and text; a null id comes after all
+    others. Rows equal in id and text can't be told apart and stay together.
+    """
+    rows = simhash_groups(docs, digest=True).checkpoint()
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    first = rows.groupBy("root").agg(F.min(place).alias("__first")).checkpoint()
+    gone = rows.join(first, "root").filter(place != F.col("__first")).select("doc_id", "digest")
+    return without_rows(docs, gone, {"doc_id": F.col("doc_id").cast("long"), "digest": digest_of(F.col("text"))})

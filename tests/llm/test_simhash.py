@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -70,9 +71,42 @@ def test_dense_cluster(spark, bucket):
     assert (got == components(fps.view(np.uint64))).all()
 
 
+def naive_stage(rows):
+    """Numbers of the rows that stay: of each group the smallest id, of several with it the smallest digest."""
+    root = components([fingerprint(t) for _, t in rows])
+    place = [(d is None, d or 0, hashlib.sha256((t or "").encode()).digest()) for d, t in rows]
+    first: dict = {}
+    for p, k in zip(place, root, strict=True):
+        first[k] = min(first.get(k, p), p)
+    return [r for r, p, k in zip(rows, place, root, strict=True) if p == first[k]]
+
+
+def key(r):
+    return (str(r[0]), r[1] or "")
+
+
 def test_stage(spark, odd):
     left = S.stage(spark, odd, "")
     assert left.columns == odd.columns
-    groups = {r["doc_id"]: r["component_id"] for r in S.simhash_groups(odd).collect()}
-    kept = {r["doc_id"] for r in left.collect()}
-    assert kept == {d for d, c in groups.items() if d is None or d == c}
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert sorted(map(key, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(key, naive_stage(rows)))
+
+
+def test_stage_decides_by_row(spark):
+    """A text in no group stays, whatever else its id has; of each group one row stays."""
+    a, b = "some words of one text that is long enough", "another text altogether with words of its own"
+    rows = [(1, a), (2, a), (2, b), (3, b + " "), (3, "a third text that nobody else has at all"), (None, a), (None, "no id and no copy here"), (8, "same id"), (8, "SAME id")]
+    left = S.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(key((r["doc_id"], r["text"])) for r in left) == sorted(map(key, naive_stage(rows)))
+    assert len(left) == 5
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64])
+def test_long_texts_in_stretches(monkeypatch, stretch):
+    rng = np.random.default_rng(0)
+    texts = ["", " ", "a", "a b", "a  b\nc", " lead and trail ", "x" * 300 + " y", *[" ".join(rng.choice(["one", "Two", "drei\t", "vier"], n)) for n in (4, 5, 40, 400)]]
+    monkeypatch.setattr(S, "STRETCH", stretch)
+    monkeypatch.setattr(S, "STEP", 10)
+    for size in (1, 3):
+        got = S.fingerprints([t.encode() for t in texts], size).view(np.uint64).tolist()
+        assert size == 1 or got == [fingerprint(t) for t in texts]
