@@ -6,18 +6,28 @@ pieces, one per anchor: all strings whose anchor stands at that place, at most
 length - k + 1 of them, which all overlap. Only pieces whose anchor occurs
 more than once can hold a repeat.
 
-Equal pieces are counted, not compared: all of their strings repeat. The
-different pieces of an anchor form a collection, aligned at the anchor, and
-go through a column-wise construction from the right: each round reads the
-next column of a sequential file, inserts one symbol per piece into the
-collection's positional Burrows-Wheeler transform, and updates the order of
-the suffixes and their common prefixes. A string repeats if, in the round of
-its first column, its suffix has `length` symbols in common with a neighbour.
-As equal strings have the same column, suffixes of different columns need not
-be merged, so a round costs the number of pieces and not of all symbols.
-
-An anchor with very many different pieces is compared by digests of single
-strings instead, combined within each task first.
+Pieces are grouped by their bytes, so each different piece is there once, with
+the number of its places. The different pieces of an anchor form a collection,
+aligned at the anchor; one with several places is in it twice. A collection
+goes through a column-wise construction from the right: each round takes the
+next column, inserts one symbol per piece into the collection's positional
+Burrows-Wheeler transform, and updates the order of the suffixes and their
+common prefixes. A string repeats if, in the round of its first column, its
+suffix has `length` symbols in common with a neighbour. That compares bytes;
+hashes only say which pieces meet. As equal strings have the same column,
+suffixes of different columns need not be merged, so a round costs the number
+of pieces and not of all symbols.
+
+A large collection is dealt out by longer contexts: a string has half of what
+is beside its anchor on the left or on the right, so its half of the piece
+meets the halves with the same context. What is still very large is compared
+by digests of single strings instead, combined within each task first.
+
+Pieces that are equal within a block of text are one row, and their places
+come as spans that are already merged, so that a long run of one byte, or of a
+short period, is a handful of rows. A piece's hash stands for its bytes in the
+join with its places; hashes that several pieces share are looked up by the
+bytes instead.
 
 Defined results. Null text counts as empty; texts under `length` bytes have
 no strings and stay whole. Rows that are equal in id and text count as
@@ -28,7 +38,6 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +45,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, resting, scratch
+from .common import BROADCAST_ROWS, documents, in_batches, resting, scratch
 from .tokens import batches
 
 LENGTH, K = 200, 40
-#: Different pieces of an anchor up to which they are compared as one collection: about 16 MB.
+#: Different pieces of an anchor up to which they are one collection; more are dealt out by their halves' contexts,
+SPLIT = 1_000
+#: and halves of a context up to which they are one collection of about 16 MB.
 COLLECTION = 50_000
 #: Bytes handled at once; longer texts are handled in parts that overlap.
 BLOCK = 500_000
@@ -70,8 +81,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def pieces(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K):
-    """Pieces of texts that follow each other in `data` and end at `ends`; together under 2 ** 24 bytes.
+def pieces(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K, bits: int = 64):
+    """Pieces of texts that follow each other in `data` and end at `ends`; together under 2 ** 24 bytes. bits: of a piece's hash; fewer cost time, not correctness.
 
     Returns arrays: text, start in data, strings, anchor's place behind the start, anchor's hash, piece's hash.
     """
@@ -108,7 +119,7 @@ def pieces(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K)
     s = start[new]
     with np.errstate(over="ignore"):
         whole = _mixed((sums[s + strings + length - 1] - sums[s]) * down[s] + strings.astype(np.uint64))
-    return text[new], s, strings, anchor[new] - s, anchors[anchor[new]].view(np.int64), whole.view(np.int64)
+    return text[new], s, strings, anchor[new] - s, anchors[anchor[new]].view(np.int64), (whole & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def _blocks(batch: pa.RecordBatch, column: int, length: int):
@@ -123,18 +134,13 @@ def _blocks(batch: pa.RecordBatch, column: int, length: int):
 
 
 def _anchor_hashes(length: int, k: int):
-    """For each anchor of a block: how often it occurs there, and the smallest and, if another, the largest hash of its pieces."""
+    """For each anchor of a block, how often it occurs there."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for _, _, _, data, ends in _blocks(batch, 2, length):
-                h, ph = pieces(data, ends, length, k)[4:]
-                order = np.lexsort((ph, h))
-                h, ph = h[order], ph[order]
-                cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
-                n = np.diff(np.append(cuts, len(h)))
-                low, high = ph[cuts], ph[cuts + n - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(h[cuts]), pa.array(n), pa.array(low), pa.array(high, mask=low == high)], ["h", "n", "low", "high"])
+                h, n = np.unique(pieces(data, ends, length, k)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n, pa.int32())], ["h", "n"])
 
     return resting(run)
 
@@ -175,29 +181,58 @@ def _in_filter(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (mask[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _candidates(length: int, k: int, repeated, mixed):
-    """Pieces whose anchor may be in the filter `repeated`. Their bytes come along, once a block, if it may be in `mixed`."""
+def _merged(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans a..b of texts, joined where they overlap or touch."""
+    order = np.lexsort((a, text))
+    text, a, b = text[order], a[order], b[order]
+    wide = int(b.max(initial=0)) + 1
+    reach = np.maximum.accumulate(b + text * wide) - text * wide  # a text's spans lie beyond those of the text before
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (text[1:] != text[:-1]) | (a[1:] > reach[:-1])]))
+    return text[new], a[new], reach[np.append(new[1:], len(a)) - 1] if len(a) else b
+
+
+FOUND = "doc_id long, text_hash long, start long, strings int, at int, h long, ph long, n int, content binary"
+
+
+def _candidates(length: int, k: int, bits: int, repeated):
+    """Different pieces of a block whose anchor may be in the filter `repeated`, with their bytes; n is 2 if a piece is there more often.
+    Then the places of those, as merged spans without a hash."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for some, row, offset, data, ends in _blocks(batch, 2, length):
-                text, start, strings, at, h, ph = pieces(data, ends, length, k)
+                text, start, strings, at, h, ph = pieces(data, ends, length, k, bits)
                 hit = np.flatnonzero(_in_filter(h, repeated.value))
                 if not len(hit):
                     continue
                 text, start, strings, at, h, ph = (x[hit] for x in (text, start, strings, at, h, ph))
-                # a piece's bytes go with its first occurrence in the block
-                asked = np.flatnonzero(_in_filter(h, mixed.value))
-                _, firsts = np.unique(np.stack([h[asked], ph[asked]], axis=1), axis=0, return_index=True)
-                content: list[bytes | None] = [None] * len(hit)
                 raw = data.tobytes()
-                for i in asked[firsts].tolist():
-                    content[i] = raw[start[i] : start[i] + strings[i] + length - 1]
-                own = pa.array(row[text])
-                begin = np.concatenate([[0], ends])[text]
+                size = strings + length - 1
+                content = [raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)]
+                first: dict[bytes, int] = {}
+                of = np.asarray([first.setdefault(c, i) for i, c in enumerate(content)])
+                own = np.flatnonzero(of == np.arange(len(of)))
+                n = np.minimum(np.bincount(of, minlength=len(of))[own], 2)
+                begin = np.concatenate([[0], ends])
+                place = start - begin[text] + offset[text]
+                again = np.flatnonzero(np.bincount(of, minlength=len(of))[of] > 1)
+                where, a, b = _merged(text[again], place[again], place[again] + size[again])
+                both = np.concatenate([row[text[own]], row[where]])
+                gone = np.arange(len(both)) >= len(own)
+                fill = lambda x, m=len(where): np.concatenate([x, np.zeros(m, x.dtype)])  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(own), some.column(1).take(own), pa.array(start - begin + offset[text]), pa.array(strings.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h), pa.array(ph), pa.array(content, pa.binary())],
-                    ["doc_id", "text_hash", "start", "strings", "at", "h", "ph", "content"],
+                    [
+                        some.column(0).take(pa.array(both)),
+                        some.column(1).take(pa.array(both)),
+                        pa.array(np.concatenate([place[own], a])),
+                        pa.array(np.concatenate([strings[own], b - a - length + 1]).astype(np.int32)),
+                        pa.array(fill(at[own]).astype(np.int32)),
+                        pa.array(fill(h[own]), mask=gone),
+                        pa.array(fill(ph[own]), mask=gone),
+                        pa.array(fill(n).astype(np.int32)),
+                        pa.array([*[content[i] for i in own.tolist()], *[None] * len(where)], pa.binary()),
+                    ],
+                    ["doc_id", "text_hash", "start", "strings", "at", "h", "ph", "n", "content"],
                 )
 
     return resting(run)
@@ -213,58 +248,87 @@ def compare(group: np.ndarray, contents: list[bytes], at: np.ndarray, strings: n
     low, high = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
     begin = left - at
     size = strings + length - 1
-    with tempfile.TemporaryFile() as columns:
-        table = np.zeros((n, width), np.uint8)
-        for i, c in enumerate(contents):
-            table[i, begin[i] : begin[i] + size[i]] = np.frombuffer(c, np.uint8)
-        columns.write(np.ascontiguousarray(table[:, ::-1].T).tobytes())
-        del table
-        columns.seek(0)
-        order, common = np.arange(n), np.zeros(n + 1, np.int32)
-        for j in range(width - 1, -1, -1):
-            column = np.frombuffer(columns.read(n), np.uint8)
-            inside = (j >= begin) & (j < begin + size)
-            symbol = np.where(inside, column, 256)[order]
-            key = group[order] * 257 + symbol
-            turn = np.argsort(key, kind="stable")
-            key = key[turn]
-            same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] % 257 != 256))
-            new = np.zeros(n + 1, np.int32)
-            if len(same):
-                cuts = np.empty(2 * len(same), np.int64)
-                cuts[::2], cuts[1::2] = turn[same] + 1, turn[same + 1] + 1
-                new[same + 1] = np.minimum(np.minimum.reduceat(common, cuts)[::2] + 1, length)
-            order, common = order[turn], new
-            full = common >= length
-            found = order[full[:-1] | full[1:]]
-            found = found[(j >= begin[found]) & (j < begin[found] + strings[found])]
-            place = j - begin[found]
-            low[found] = place
-            high[found] = np.where(high[found] < 0, place, high[found])
+    columns = np.zeros((width, n), np.uint8)
+    for s in range(0, n, 4096):  # pieces are turned into columns some at a time
+        some = np.zeros((min(4096, n - s), width), np.uint8)
+        for i, c in enumerate(contents[s : s + 4096]):
+            some[i, begin[s + i] : begin[s + i] + size[s + i]] = np.frombuffer(c, np.uint8)
+        columns[:, s : s + 4096] = some.T
+    order, common = np.arange(n), np.zeros(n + 1, np.int32)
+    for j in range(width - 1, -1, -1):
+        inside = (j >= begin) & (j < begin + size)
+        symbol = np.where(inside, columns[j], 256)[order]
+        key = group[order] * 257 + symbol
+        turn = np.argsort(key, kind="stable")
+        key = key[turn]
+        same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] % 257 != 256))
+        new = np.zeros(n + 1, np.int32)
+        if len(same):
+            cuts = np.empty(2 * len(same), np.int64)
+            cuts[::2], cuts[1::2] = turn[same] + 1, turn[same + 1] + 1
+            new[same + 1] = np.minimum(np.minimum.reduceat(common, cuts)[::2] + 1, length)
+        order, common = order[turn], new
+        full = common >= length
+        found = order[full[:-1] | full[1:]]
+        found = found[(j >= begin[found]) & (j < begin[found] + strings[found])]
+        place = j - begin[found]
+        low[found] = place
+        high[found] = np.where(high[found] < 0, place, high[found])
     return low, high
 
 
+HALVES = "g long, h long, ph long, shift int, strings int, at int, n int, content binary, whole binary"
+
+
+def _halves(length: int, k: int):
+    """The strings of a piece whose anchor has half of the other bytes on its left, and those that have it on the right, each with that context's hash."""
+    half = (length - k + 1) // 2
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out: list[tuple] = []
+            for h, ph, strings, at, n, content, whole in zip(*(batch[c].to_pylist() for c in ("h", "ph", "strings", "at", "n", "content", "whole")), strict=True):
+                # string i has at - i bytes before the anchor
+                turn = min(max(at - half + 1, 0), strings)
+                for side, a, b in ((b"l", 0, turn), (b"r", turn, strings)):
+                    if a < b:
+                        context = content[at - half : at + k] if side == b"l" else content[at : at + length - half + 1]
+                        g = int.from_bytes(hashlib.blake2b(side + context, digest_size=8).digest(), "little", signed=True)
+                        out.append((g, h, ph, a, b - a, at - a, n, content[a : b + length - 1], whole))
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in HALVES.split(", ")])
+
+    return resting(run)
+
+
 def _compared(length: int, k: int):
-    names = ["h", "ph", "strings", "at", "content"]
+    """Rows as HALVES has them, sorted by g."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def results(table: pa.Table) -> pa.RecordBatch:
-            h = table["h"].to_numpy()
-            group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) if len(h) else h
-            low, high = compare(group, table["content"].to_pylist(), table["at"].to_numpy(), table["strings"].to_numpy(), length, k)
+            g = table["g"].to_numpy()
+            n = np.minimum(table["n"].to_numpy(), 2)  # a piece with several places meets itself
+            each = np.repeat(np.arange(len(n)), n)
+            group = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) if len(g) else g
+            content = table["content"].to_pylist()
+            low, high = compare(group[each], [content[i] for i in each.tolist()], table["at"].to_numpy()[each], table["strings"].to_numpy()[each], length, k)
+            first = np.cumsum(n) - n  # both copies have the same result
+            low, high, shift = low[first], high[first], table["shift"].to_numpy()
             hit = low >= 0
-            return pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(table["ph"].to_numpy()[hit]), pa.array(low[hit]), pa.array(high[hit])], ["h", "ph", "low", "high"])
+            keep = pa.array(np.flatnonzero(hit))
+            return pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(keep) for c in ("h", "ph", "whole")), pa.array((low + shift)[hit]), pa.array((high + shift)[hit])], ["h", "ph", "whole", "low", "high"])
 
         count = 0
         for batch in rows:
-            held.append(batch.select(names))
+            held.append(batch)
             count += batch.num_rows
             if count > ROUND:
                 table = pa.Table.from_batches(held).combine_chunks()
-                h = table["h"].to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
+                g = table["g"].to_numpy()
+                cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
                 if cut:
                     yield results(table.slice(0, cut))
                 rest = table.slice(cut)
@@ -314,45 +378,85 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION) -> DataFrame:
-    """Spans of bytes that repeats cover: doc_id, text_hash, a, b. Spans may overlap."""
+def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, split: int = SPLIT, max_bits: int = MAX_BITS, piece_bits: int = 64) -> DataFrame:
+    """Spans of bytes that repeats cover: doc_id, text_hash, a, b. Spans may overlap. The last four settings cost time or memory, not correctness."""
     if not 0 < k <= length:
         raise ValueError("k must be from 1 to length")
     spark = docs.sparkSession
     texts = in_batches(_texts(docs, id_col, text_col)).filter(F.octet_length("text") >= length)
-    anchors = texts.mapInArrow(_anchor_hashes(length, k), "h long, n long, low long, high long")
-    repeated = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high")).filter("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed")).checkpoint()
-    n_mixed, n_repeated = repeated.agg(F.count_if("mixed"), F.count(F.lit(1))).first()
-    filters = [spark.sparkContext.broadcast(_filter(x.select("h"), n)) for x, n in ((repeated, n_repeated), (repeated.filter("mixed"), n_mixed))]
+    anchors = texts.mapInArrow(_anchor_hashes(length, k), "h long, n int")
+    repeated = anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h").checkpoint()
+    n = repeated.count()
+    filter_ = spark.sparkContext.broadcast(_filter(repeated, n, max_bits))
     path = scratch(spark, "pieces")
-    schema = "doc_id long, text_hash long, start long, strings int, at int, h long, ph long, content binary"
-    texts.mapInArrow(_candidates(length, k, *filters), schema).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    found = spark.read.schema(schema).parquet(path)
-    equal = found.groupBy("h", "ph").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "ph", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
-    some = found.filter("content IS NOT NULL").groupBy("h", "ph").agg(F.first("strings").alias("strings"), F.first("at").alias("at"), F.first("content").alias("content"))
-    # a few anchors that only the filter's chance lets through are collections of one piece
-    kinds = some.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    large = kinds.filter(F.col("kinds") > collection).checkpoint()
-    close = some if large.isEmpty() else some.join(large, "h", "left_anti")
-    results = equal.unionByName(close.repartition("h").sortWithinPartitions("h", "ph").mapInArrow(_compared(length, k), "h long, ph long, low int, high int"))
-    if not large.isEmpty():
-        results = results.unionByName(_by_digest(some.join(large, "h", "left_semi"), length))
-    # equal pieces are covered whole
-    results = results.groupBy("h", "ph").agg(F.min(F.coalesce("low", F.lit(0))).alias("low"), F.max(F.coalesce("high", F.lit(1 << 30))).alias("high")).checkpoint()
-    last = F.least("high", F.col("strings") - 1)
-    return found.select("doc_id", "text_hash", "start", "strings", "h", "ph").join(results, ["h", "ph"]).select("doc_id", "text_hash", (F.col("start") + F.col("low")).alias("a"), (F.col("start") + last + length).alias("b"))
-
-
-def _by_digest(pieces_: DataFrame, length: int) -> DataFrame:
-    """Pieces (h, ph, strings, content) whose strings are compared one by one."""
-    single = pieces_.select("h", "ph", F.explode(F.sequence(F.lit(0), F.col("strings") - 1)).alias("i"), "content").select("h", "ph", "i", F.md5(F.substring("content", F.col("i") + 1, F.lit(length))).alias("d")).checkpoint()
-    twice = single.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "d")
-    return single.join(twice, ["h", "d"]).groupBy("h", "ph").agg(F.min("i").alias("low"), F.max("i").alias("high"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", collection: int = COLLECTION, with_text: bool = True) -> DataFrame:
+    candidates = texts.mapInArrow(_candidates(length, k, piece_bits, filter_), FOUND)
+    if 8 * n > max_bits:  # the filter lets too much pass
+        # rows without a hash are spread over all tasks, and stay
+        key = F.coalesce("h", F.xxhash64("doc_id", "start"))
+        known = candidates.withColumn("__key", key).join(repeated.select(F.col("h").alias("__key"), F.lit(True).alias("__in")), "__key", "left")
+        candidates = known.filter("h IS NULL OR __in").select(*candidates.columns)
+    candidates.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    found = spark.read.schema(FOUND).parquet(path)
+    places = found.filter("h IS NOT NULL").select("doc_id", "text_hash", "start", "strings", "h", "ph")
+    spans = found.filter("h IS NULL").select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("strings") + (length - 1)).alias("b"))
+
+    # each different piece once, by its bytes
+    kept = scratch(spark, "contents")
+    found.filter("h IS NOT NULL").groupBy("h", "ph", "content").agg(F.sum("n").alias("n"), F.min("strings").alias("strings"), F.min("at").alias("at")).write.option("compression", "zstd").parquet(kept)
+    contents = spark.read.schema("h long, ph long, content binary, n long, strings int, at int").parquet(kept)
+    large = contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > split).select("h").checkpoint()
+    many = large.count()
+    large = F.broadcast(large) if many <= BROADCAST_ROWS else large
+    clash = contents.groupBy("h", "ph").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h", "ph").checkpoint()
+    clashes = not clash.isEmpty()
+    if clashes:
+        contents = contents.join(clash.withColumn("__clash", F.lit(True)), ["h", "ph"], "left").withColumn("whole", F.when(F.col("__clash"), F.col("content"))).drop("__clash")
+    else:
+        contents = contents.withColumn("whole", F.lit(None).cast("binary"))
+    rows = contents.join(large, "h", "left_anti") if many else contents
+    results = _columns(rows.select(F.col("h").alias("g"), "h", "ph", F.lit(0).alias("shift"), "strings", "at", F.col("n").cast("int"), "content", "whole"), length, k)
+    if many:
+        results = results.unionByName(_dealt(contents.join(large, "h", "left_semi"), length, k, collection))
+    results = results.groupBy("h", "ph", "whole").agg(F.min("low").alias("low"), F.max("high").alias("high")).checkpoint()
+    # a third of all places can be of one piece: a join of two exchanges can be split
+    covered = places.join(results.filter("whole IS NULL").drop("whole"), ["h", "ph"])
+    span = ("doc_id", "text_hash", (F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + length).alias("b"))
+    spans = spans.unionByName(covered.select(*span))
+    if clashes:
+        own = _texts(docs, id_col, text_col).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "text").distinct()
+        unsure = places.join(clash, ["h", "ph"], "left_semi").join(own, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")))
+        by_bytes = unsure.withColumn("whole", F.substring("text", F.col("start").cast("int") + 1, F.col("strings") + (length - 1))).drop("text", "__doc", "__hash")
+        spans = spans.unionByName(by_bytes.join(results.filter("whole IS NOT NULL"), ["h", "ph", "whole"]).select(*span))
+    return spans
+
+
+def _columns(rows: DataFrame, length: int, k: int) -> DataFrame:
+    """rows as HALVES has them, each g a collection: h, ph, whole, low, high of those with a repeat."""
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(length, k), "h long, ph long, whole binary, low int, high int")
+
+
+def _dealt(contents: DataFrame, length: int, k: int, collection: int) -> DataFrame:
+    """Results of anchors with many pieces, by halves of pieces."""
+    halves = in_batches(contents.withColumn("n", F.col("n").cast("int")).select("h", "ph", "strings", "at", "n", "content", "whole")).mapInArrow(_halves(length, k), HALVES).checkpoint()
+    large = halves.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > collection).select("g").checkpoint()
+    if large.isEmpty():
+        return _columns(halves, length, k)
+    return _columns(halves.join(large, "g", "left_anti").select(*halves.columns), length, k).unionByName(_by_digest(halves.join(large, "g", "left_semi"), length))
+
+
+def _by_digest(halves: DataFrame, length: int) -> DataFrame:
+    """Halves whose strings are compared one by one."""
+    string = F.substring("content", F.col("i") + 1, F.lit(length))
+    single = halves.select("g", "h", "ph", "whole", "shift", "n", F.explode(F.sequence(F.lit(0), F.col("strings") - 1)).alias("i"), "content").select("g", "h", "ph", "whole", (F.col("shift") + F.col("i")).alias("i"), "n", F.sha2(string, 256).alias("d")).checkpoint()
+    twice = single.groupBy("g", "d").agg(F.sum("n").alias("n")).filter("n > 1").select("g", "d")
+    return single.join(twice, ["g", "d"]).groupBy("h", "ph", "whole").agg(F.min("i").alias("low"), F.max("i").alias("high")).select("h", "ph", "whole", "low", "high")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, **settings: int) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left)."""
-    spans = repeat_spans(docs, length, k, id_col, text_col, collection).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # rows that are equal in id and text have their spans in common, once
+    each = repeat_spans(docs, length, k, id_col, text_col, **settings).groupBy("doc_id", "text_hash", "a").agg(F.max("b").alias("b"))
+    spans = each.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     texts = _texts(docs, id_col, text_col)
     keyed = texts.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("text_hash", "__text_hash")
     joined = keyed.join(spans, F.col("__doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__text_hash") == F.col("text_hash")), "left")

@@ -39,13 +39,45 @@ def texts():
     return [*out, "a" * 300, "a" * 20, "ab" * 100, None, "", out[5], out[5], out[6][:-3] + "zz" + out[7]]
 
 
-@pytest.mark.parametrize("length,k,collection", [(20, 8, 50_000), (30, 3, 50_000), (20, 8, 3), (12, 12, 50_000)])
-def test_brute_force(spark, length, k, collection):
-    """The third case compares all large collections by digests."""
+@pytest.mark.parametrize(
+    ("length", "k", "settings"),
+    [
+        (20, 8, {}),
+        (30, 3, {"split": 2}),
+        (20, 8, {"split": 2, "collection": 3}),
+        (12, 12, {"max_bits": 64}),
+        (21, 8, {"split": 1}),
+        (20, 8, {"piece_bits": 3}),
+        (20, 8, {"piece_bits": 2, "split": 2, "collection": 3, "max_bits": 64}),
+    ],
+)
+def test_brute_force(spark, length, k, settings):
+    """A small split deals collections out by halves, a small collection compares by digests, few bits make pieces' hashes and the filter clash."""
     own = texts()
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(5)
     want = sorted((str(i), *w) for i, w in enumerate(brute([(t or "").encode() for t in own], length)))
-    assert found(df, length, k, collection=collection) == want
+    assert found(df, length, k, **settings) == want
+
+
+def test_runs_and_periods(spark):
+    """A text of one byte or of a short period is a few rows, and so are many equal rows."""
+    own = [(1, "a" * 60_000), (2, "abcdefghijklmno" * 3000), (3, "x" + "ab" * 4000 + "y"), *[(4, "the same row " * 30 + "again")] * 60, (5, "a" * 250 + "b"), (6, "nothing that repeats here" + "".join(map(chr, range(200, 600))))]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    assert found(df) == sorted((str(i), *w) for (i, _), w in zip(own, brute([t.encode() for _, t in own], R.LENGTH), strict=True))
+    assert R.repeat_spans(df).count() < 600
+
+
+def test_merged_spans():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        n = int(rng.integers(0, 30))
+        text, a = rng.integers(0, 3, n), rng.integers(0, 40, n)
+        b = a + rng.integers(1, 8, n)
+        got = R._merged(text, a, b)
+        cells = lambda t, x, y: {(int(i), k) for i, p, q in zip(t, x, y, strict=True) for k in range(p, q)}
+        assert cells(*got) == cells(text, a, b)
+        spans = sorted(zip(*(x.tolist() for x in got), strict=True))
+        assert all(t != u or y < p for (t, _, y), (u, p, _) in zip(spans, spans[1:], strict=False))
 
 
 def test_production_parameters(spark):
