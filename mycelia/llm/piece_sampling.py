@@ -7,12 +7,15 @@ piece's weight is 1 / (rank + RANK0), to the power `alpha`. A character that
 is no piece is its UTF-8 bytes' pieces.
 
 No piece has a space after another character, or letters together with other
-characters (the one that has is left out), so a text's lattice falls apart
-into units, spaces with letters or with others. A unit's forward sums are
-computed once and kept in a bounded cache; each of its occurrences draws its
-own path, all of a batch at a time. The draws come from a hash of the seed,
-the row's key, the unit's number in the text and the step, so a row gets the
-same pieces in any batch, order or retry.
+characters, so a text's lattice falls apart into units, spaces with letters or
+with others. A long unit falls apart further wherever no piece of two or more
+characters reaches across, so that text without spaces is short units too. A
+unit's forward sums are computed once and kept in a bounded cache; each of its
+occurrences draws its own path, all of a batch at a time. What is still long,
+say thousands of letters in a row, is filtered and sampled in stretches of
+bounded memory. The draws come from a hash of the seed, the row's key, the
+unit's number in the text and the step, so a row gets the same pieces in any
+batch, order or retry. Long texts are handled in parts.
 
 Decoding joins the pieces and takes away the space that encoding puts in
 front, and gives the text back exactly. A character that looks like the
@@ -38,14 +41,15 @@ from .token_orc import lists
 from .tokens import batches, tokenizer_path
 
 RANK0 = 10
-#: Longer units are drawn one by one and not kept.
-UNIT = 24
+#: Longer units are drawn one by one and not kept, in stretches of so many characters.
+UNIT, STRETCH = 24, 4096
 #: Different units whose lattices a worker keeps; some 400 bytes each.
 CACHE_UNITS = 300_000
 #: Units learned at once, and characters drawn for at once; they bound the arrays in between.
 LEARN, DRAW = 4096, 500_000
 
-_UNITS = re.compile(r" *[^\W\d_]+| *(?:[^\w ]|[\d_])+| +")
+# superscripts and fractions stand with the digits
+_UNITS = re.compile(r" *[^\W\d_²³¹¼½¾]+| *(?:[^\w ]|[\d_²³¹¼½¾])+| +")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +71,7 @@ class Pieces:
         self.ids: dict[str, int] = {}
         self.bytes: list[bytes] = []
         self.byte_ids = np.zeros(256, np.int64)
+        self.table: np.ndarray | None = None
         for k in range(model.vocab_size()):
             piece = model.id_to_piece(k).replace("▁", " ")
             self.bytes.append(piece.encode())
@@ -94,7 +99,10 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        return b"".join([self.bytes[k] for k in ids])[1:].decode("utf-8", "replace")
+        if self.table is None:
+            self.table = np.asarray([*self.bytes, b""], dtype=object)
+        ids = np.asarray(ids, np.int64)
+        return b"".join([b"".join(self.table[ids[k : k + DRAW]].tolist()) for k in range(0, len(ids), DRAW)])[1:].decode("utf-8", "replace")
 
 
 class Sampler:
@@ -230,32 +238,108 @@ class Sampler:
         with np.errstate(over="ignore"):
             return (mixed(stream ^ (np.uint64(step + 1) << np.uint64(32))) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
 
+    def cut(self, unit: str) -> list[str]:
+        """A unit in parts, between which no piece reaches."""
+        n = len(unit)
+        text = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        crossed = np.zeros(n + 1, np.int64)
+        place, h = np.arange(n), np.zeros(n, np.uint64)
+        for l in range(1, self.pieces.longest + 1):
+            with np.errstate(over="ignore"):
+                h = h * np.uint64(0x100000001B3) + text[place + l - 1] + np.uint64(1)
+            at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
+            ok = self.prefix[at] == h
+            place, h, at = place[ok], h[ok], at[ok]
+            if l > 1:
+                long = place[self.prefix_piece[at] >= 0]
+                np.add.at(crossed, long + 1, 1)
+                np.add.at(crossed, long + l, -1)
+            more = place + l < n
+            place, h = place[more], h[more]
+            if not len(place):
+                break
+        cuts = np.flatnonzero(np.cumsum(crossed)[1:n] == 0) + 1
+        return [unit[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True)]
+
     def _long(self, unit: str, key: int, number: int) -> list[int]:
-        """One draw for a unit that isn't kept, with sums scaled so that they can't vanish."""
-        arcs = self.pieces.arcs(unit)
-        total = [0.0] * (len(unit) + 1)  # logarithms
-        for j in range(1, len(unit) + 1):
-            parts = [total[i] + np.log(w) for i, _, w in arcs[j]]
-            top = max(parts)
-            total[j] = top + float(np.log(sum(np.exp(p - top) for p in parts)))
-        out: list[int] = []
+        """One draw for a unit that isn't kept. Forward sums of a stretch are computed again, from those before it, when its pieces are drawn."""
+        reach, n = self.pieces.longest, len(unit)
+
+        def forward(a: int, b: int, last: list[float], arcs_of: list | None) -> list[float]:
+            """Sums of the `reach` places up to b, in a common scale, from those up to a."""
+            near = self.pieces.arcs(unit[max(0, a - reach) : b])
+            shift = max(0, a - reach)
+            for j in range(a + 1, b + 1):
+                own = [(i + shift, ids, last[i + shift - j] * w) for i, ids, w in near[j - shift]]
+                total = sum([p for _, _, p in own])
+                if arcs_of is not None:
+                    arcs_of.append((own, total))
+                last = [*last[1:], total]
+                if j % 16 == 0:  # a piece weighs no less than 1e-18, so that nothing vanishes in between
+                    last = [x / total for x in last]
+            return last
+
+        ends = list(range(0, n, STRETCH))
+        before = [[0.0] * (reach - 1) + [1.0]]
+        for a in ends[:-1]:
+            before.append(forward(a, a + STRETCH, before[-1], None))
         stream = self._stream(np.asarray([key], np.uint64), np.asarray([number]), self.seed)
-        j, step = len(unit), 0
-        while j:
-            u = float(self._uniform(stream, step)[0])
-            for i, ids, w in arcs[j]:
-                u -= float(np.exp(total[i] + np.log(w) - total[j]))
-                if u < 0:
-                    break
-            out += reversed(ids)
-            j, step = i, step + 1
+        out: list[int] = []
+        j, step, uniform = n, 0, []
+        for a, last in zip(reversed(ends), reversed(before), strict=True):
+            arcs_of: list = []
+            forward(a, min(a + STRETCH, n), last, arcs_of)
+            while j > a:
+                if step % STRETCH == 0:
+                    uniform = [float(x) for x in self._uniforms(stream, step, STRETCH)]
+                own, total = arcs_of[j - a - 1]
+                u = uniform[step % STRETCH] * total
+                for i, ids, p in own:
+                    u -= p
+                    if u < 0:
+                        break
+                out += reversed(ids)
+                j, step = i, step + 1
         return out[::-1]
 
+    def _uniforms(self, stream: np.ndarray, first: int, count: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            steps = np.arange(first + 1, first + count + 1, dtype=np.uint64) << np.uint64(32)
+            return (mixed(stream ^ steps) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+
+    def _units(self, text: str) -> Iterator[list[str]]:
+        """The units of a text in groups of some DRAW characters."""
+        group: list[str] = []
+        held = 0
+        for m in _UNITS.finditer(" " + text) if text else ():
+            unit = m[0]
+            group += [unit] if len(unit) <= UNIT else self.cut(unit)
+            held += len(unit)
+            if held > DRAW:
+                yield group
+                group, held = [], 0
+        if group:
+            yield group
+
     def encode(self, texts: list[str], keys: list[int | None]) -> list[bytes]:
-        """Ids of each text, unsigned 32-bit little-endian. Hand in a few MB at a time."""
-        if not texts:
+        """Ids of each text, unsigned 32-bit little-endian. Hand in a few MB at a time; a longer text is drawn in parts."""
+        out: list[bytes] = [b""] * len(texts)
+        short = [k for k, t in enumerate(texts) if len(t) <= 2 * DRAW]
+        units = [[u for v in _UNITS.findall(" " + texts[k]) for u in ((v,) if len(v) <= UNIT else self.cut(v))] if texts[k] else [] for k in short]
+        for k, ids in zip(short, self._draw(units, [keys[k] for k in short], 0), strict=True):
+            out[k] = ids
+        for k in sorted(set(range(len(texts))) - set(short)):
+            parts, number = [], 0
+            for group in self._units(texts[k]):
+                parts += self._draw([group], [keys[k]], number)
+                number += len(group)
+            out[k] = b"".join(parts)
+        return out
+
+    def _draw(self, units: list[list[str]], keys: list[int | None], number_from: int) -> list[bytes]:
+        """Ids of texts in units, whose numbers begin with number_from."""
+        if not units:
             return []
-        units = [_UNITS.findall(" " + t) if t else [] for t in texts]
         if len(self.known) > CACHE_UNITS:
             self._clear()
         missing = sorted({u for us in units for u in us if u not in self.known and len(u) <= UNIT}, key=len)
@@ -265,7 +349,7 @@ class Sampler:
         total = int(counts.sum())
         get = self.known.get
         node = np.fromiter((get(u, -1) for us in units for u in us), np.int64, total)
-        number = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        number = number_from + np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         seeds = np.asarray([(k or 0) & ((1 << 64) - 1) for k in keys], np.uint64)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         at = np.flatnonzero(node >= 0)
@@ -288,30 +372,41 @@ class Sampler:
         ids = np.zeros(int(ends[-1]) if total else 0, np.int64)
         for k, (who, what) in enumerate(steps):
             ids[ends[who] - 1 - k] = what
-        plain = ids.astype("<u4")
-        odd_units = np.flatnonzero(node < 0)
+        n_ids = len(self.pieces.bytes)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         starts = np.concatenate([[0], ends])
-        n_ids = len(self.pieces.bytes)
-        odd = set(np.searchsorted(bounds, odd_units, "right") - 1)
-        if len(ids):
-            odd |= set(np.searchsorted(bounds, np.searchsorted(ends, np.flatnonzero(ids >= n_ids), "right"), "right") - 1)
+        # characters of several bytes take the places of one id
+        wide = np.flatnonzero(ids >= n_ids)
+        odd = set(np.searchsorted(bounds, np.flatnonzero(node < 0), "right") - 1)
+        odd |= set(np.searchsorted(bounds, np.searchsorted(ends, wide, "right"), "right") - 1)
+        plain = ids.astype("<u4")
         out = []
-        for t in range(len(texts)):
+        for t in range(len(units)):
             a, b = bounds[t], bounds[t + 1]
             if t not in odd:
                 out.append(plain[starts[a] : starts[b]].tobytes())
                 continue
-            whole: list[int] = []
-            for u in range(a, b):
-                if node[u] < 0:
-                    whole += self._long(units[t][u - a], int(seeds[t]), u - a)
+            parts, done = [], int(starts[a])
+            stops = np.concatenate([wide[np.searchsorted(wide, starts[a]) : np.searchsorted(wide, starts[b])], starts[a:b][node[a:b] < 0]])
+            which = np.concatenate([np.full(len(stops) - int((node[a:b] < 0).sum()), -1), np.flatnonzero(node[a:b] < 0)])
+            # a unit that isn't kept stands before the ids of the unit behind it
+            for k in np.lexsort((which < 0, stops)):
+                stop = int(stops[k])
+                parts.append(plain[done:stop].tobytes())
+                if which[k] < 0:
+                    parts.append(self.extra_ids(int(ids[stop]) - n_ids))
+                    done = stop + 1
                 else:
-                    for x in ids[starts[u] : starts[u + 1]].tolist():
-                        whole += self.extra[x - n_ids] if x >= n_ids else (x,)
-            out.append(np.asarray(whole, "<u4").tobytes())
+                    u = int(which[k])
+                    parts.append(np.asarray(self._long(units[t][u], int(seeds[t]), u + number_from), "<u4").tobytes())
+                    done = stop
+            parts.append(plain[done : starts[b]].tobytes())
+            out.append(b"".join(parts))
         return out
 
+    def extra_ids(self, k: int) -> bytes:
+        return np.asarray(self.extra[k], "<u4").tobytes()
+
 
 _samplers: dict[tuple, Sampler] = {}
 
@@ -331,7 +426,7 @@ def _encode(model: str, alpha: float, seed: int, decoded: bool):
                 ids = own.encode(texts, some.column(0).to_pylist())
                 columns = [some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), lists(ids)]
                 if decoded:
-                    columns.append(pa.array([own.pieces.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))
+                    columns.append(pa.array([own.pieces.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids", "decoded"][: len(columns)])
 
     return resting(run)
@@ -345,14 +440,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1
 
 def _decode(model: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Pieces(tokenizer_path(model)).bytes
-        table = np.asarray(known, dtype=object)
+        pieces = Pieces(tokenizer_path(model))
         for batch in rows:
             ids = batch.column(batch.schema.names.index("ids"))
-            ends = ids.offsets.to_numpy()
-            flat = table[ids.values.to_numpy()].tolist()
-            first = ends[0]
-            texts = [b"".join(flat[a:b])[1:].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)] if first == 0 or len(flat) else []
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            texts = [pieces.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return resting(run)

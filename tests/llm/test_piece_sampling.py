@@ -67,3 +67,51 @@ def test_odd(odd, none):
     assert sorted((str(r["doc_id"]), r["decoded"]) for r in rows) == sorted((str(r["doc_id"]), r["text"] or "") for r in odd.collect())
     assert all(r["n_pieces"] == len(r["ids"]) for r in rows)
     assert S.decode(S.encode(none)).count() == 0
+
+
+def test_long_unit_in_stretches(monkeypatch):
+    """A draw for a long unit doesn't depend on its stretches, and follows the weights of all paths."""
+    s = own()
+    unit = "internationalisationsverfahrensbeschleunigung" * 3
+    want = s._long(unit, 5, 2)
+    for stretch in (1, 7, 16, 50):
+        monkeypatch.setattr(S, "STRETCH", stretch)
+        assert s._long(unit, 5, 2) == want
+    assert b"".join(s.pieces.bytes[k] for k in want).decode() == unit
+    arcs = s.pieces.arcs("abcab")
+
+    def paths(j):
+        return [((), 1.0)] if j == 0 else [(p + x, v * w) for i, x, w in arcs[j] for p, v in paths(i)]
+
+    every = dict(paths(5))
+    drawn = Counter(tuple(s._long("abcab", k, 0)) for k in range(6000))
+    assert max(abs(drawn[p] / 6000 - w / sum(every.values())) for p, w in every.items()) < 0.03
+
+
+def test_cuts_cross_no_piece():
+    s = own()
+    for unit in ("数据获取一个文字列表" * 5, "x" * 40, "中" * 100, " ünïcödé🙂🙂²½²." * 4, "a1b2" * 20):
+        parts = s.cut(unit)
+        assert "".join(parts) == unit
+        edges = {sum(map(len, parts[:k])) for k in range(1, len(parts))}
+        crossed = {m for j, own_ in enumerate(s.pieces.arcs(unit)) for i, _, _ in own_ for m in range(i + 1, j)}
+        assert edges == set(range(1, len(unit))) - crossed
+    assert max(map(len, s.cut("文字列表中数据" * 100))) <= 4
+
+
+def test_long_texts_in_parts(monkeypatch):
+    """Parts of a text get the ids that the whole gets."""
+    rng = np.random.default_rng(0)
+    text = " ".join(rng.choice(["word", "andere", "数据获取一个🙂", "x" * 70, "12.5²", "don't", "é\n"], 800))
+    want = own().encode([text, "short"], [9, 1])
+    monkeypatch.setattr(S, "DRAW", 50)
+    got = S.Sampler(S.Pieces(tokenizer_path(MODEL))).encode([text, "short"], [9, 1])
+    assert got == want and own().pieces.decode(ids(got[0])) == text
+
+
+def test_every_piece_is_in_the_lattice():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(MODEL))
+    normal = [k for k in range(model.vocab_size()) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))]
+    assert sorted(own().pieces.ids.values()) == normal
