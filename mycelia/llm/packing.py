@@ -1,7 +1,7 @@
 """Packing of token sequences into bins by swap-based local search.
 
 Documents are encoded and cut into pieces of at most `capacity` ids. Pieces
-are dealt at random, by a hash, to groups of a bounded size; each group is
+are dealt at random, by a hash of the row and its number, to groups of a bounded size; each group is
 packed on its own, at the cost of at most a bin or two that a single packing
 of everything would save. Within a group a best-fit pass gives the start. Then
 the local search works on underfull bins: it takes the emptiest and moves its
@@ -244,7 +244,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
     pieces = pieces.checkpoint()
     groups = -(-pieces.count() // group) or 1
     # a piece that fills a bin needs no search, but is a group's row like any other
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups).cast("long")))
+    # the row's number in the checkpoint deals out rows that are equal
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups).cast("long")))
     return dealt.groupBy("__group").applyInArrow(_packed(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
@@ -253,5 +254,5 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packing plan of all documents left."""
+    """Pipeline stage: the packing plan of all rows left. Rows with a null or a repeated id are packed like any other, null text as empty text."""
     return pack_pieces(token_pieces(docs))

@@ -138,6 +138,16 @@ def test_packing(spark, odd, group):
     held(got, 100)
 
 
+def test_equal_rows_are_dealt_out(spark):
+    """Rows equal in everything go to all groups; none has much more than its share."""
+    docs = spark.range(0, 20_000, 1, 7).selectExpr("cast(1 AS long) doc_id", "'the same few words' text")
+    got = P.pack_pieces(P.token_pieces(docs), 64, 500).collect()
+    assert len(got) == 20_000
+    held(got, 64)
+    by = np.unique([r["sequence_id"] >> 32 for r in got], return_counts=True)[1]
+    assert len(by) == 40 and by.max() < 650
+
+
 def test_packing_empty(none):
     assert P.pack_pieces(P.token_pieces(none)).count() == 0
 
