@@ -3,8 +3,10 @@
 Each rule is evaluated once per document: its measurements and one bit are
 stored. A policy is a versioned set of rules; a document is kept under it if
 none of the policy's bits is set, so a new policy, or one without a rule, is a
-mask over the stored ledger and never reads the text again. Ablations count
-masks first and then apply every policy to the few distinct masks.
+mask over the stored ledger and never reads the text again: the queries write
+the ledger as Parquet to the shared folder and work on what they read back.
+Ablations count masks first and then apply every policy to the few distinct
+masks.
 
 Only Spark's own functions are used, within one row: no document is exploded
 into rows, so nothing but the ledger is ever shuffled.
@@ -22,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, documents, let
+from .common import WORD_GAP, documents, let, scratch
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -114,6 +116,13 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return flat.withColumn("failures", bits).withColumnRenamed("__id", id_col)
 
 
+def stored(book: DataFrame) -> DataFrame:
+    """The ledger, written once and read back."""
+    path = scratch(book.sparkSession, "ledger")
+    book.write.parquet(path)
+    return book.sparkSession.read.schema(book.schema).parquet(path)
+
+
 def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
     bits = {r.name: 1 << r.bit for r in rules}
     return sum(bits[name] for name in set(policy.rules))
@@ -137,12 +146,12 @@ def ablate(book: DataFrame, policy: Policy = POLICY, rules: tuple[Rule, ...] = R
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(documents(spark, sf_dir))
+    book = stored(ledger(documents(spark, sf_dir)))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), passes(POLICY).alias("kept"), "failures", "n_lines", "n_shouts")
 
 
 def op4_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablate(ledger(documents(spark, sf_dir)))
+    return ablate(stored(ledger(documents(spark, sf_dir))))
 
 
 _BOOK_SQL = r"""
