@@ -140,12 +140,12 @@ TEMPLATES = (
 REPEATS = 6
 
 
-def labelled_table(seed: int = 0) -> list[tuple[list[str], list[int]]]:
+def labelled_table(seed: int = 0, templates: tuple[str, ...] = TEMPLATES) -> list[tuple[list[str], list[int]]]:
     """Words and labels of each row."""
     rng = np.random.default_rng(seed)
     pick = {"h": "0123456789abcdef", "9": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     rows = []
-    for line in TEMPLATES * REPEATS:
+    for line in templates * REPEATS:
         words, labels = [], []
         for k, part in enumerate(re.split(r"\{(\w+:[^}]*)\}", line)):
             kind, _, filled = part.partition(":") if k % 2 else ("nothing", "", part)
