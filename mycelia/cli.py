@@ -9,7 +9,7 @@ from mycelia.functions.paths import result_path_of
 from mycelia.functions.ranges import parse_ranges, positive_int
 from mycelia.operators.components import component_count, connected_components
 from mycelia.plans.staged import staged_components
-from mycelia.session import build
+from mycelia.session import build, release
 from mycelia.sources.edges import all_vertices, load_edges
 from mycelia.sources.results import append_column, ensure_folder
 
@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-r", "--runs", type=positive_int, default=1)
     p.add_argument("-o", "--output", default="results")
     p.add_argument("-t", "--threads", type=int, default=0, help="0 or less: all")
-    p.add_argument("-m", "--method", choices=("contract", "stars", "labels", "staged"), default="contract")
+    p.add_argument("-m", "--method", choices=("contract", "stars", "labels", "frontier", "staged"), default="contract")
     p.add_argument("-p", "--parts", type=positive_int, default=4, help="of the staged method")
     return p
 
@@ -50,6 +50,8 @@ def main(argv: list[str] | None = None) -> int:
                 seconds.append(time.time() - began)
                 print(f"chunk={chunk} exchange={exchange}: {count} components in {seconds[-1]:.3f} seconds")
             append_column(target, f"chunk_{chunk}_exchange_{exchange}", seconds)
+    edges.unpersist()
+    release(spark)
     return 0
 
 

@@ -33,6 +33,14 @@ def matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return edges, rows
 
 
+def write_matrix_market(edges: DataFrame, path: str, n: int) -> None:
+    """Write (src, dst), from 0, as a folder with one coordinate file of an n x n pattern. The size line has to come first, so one task writes."""
+    spark = edges.sparkSession
+    entries = edges.select(F.lit(2).alias("__at"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1).alias("value"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate pattern general"), (1, f"{n} {n} {edges.count()}")], "__at int, value string")
+    head.unionByName(entries).repartition(1).sortWithinPartitions("__at").select("value").write.text(path)
+
+
 def delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """(src, dst): the first two columns; lines that begin with # and lines without two integers are left out."""
     rows = spark.read.option("sep", sep).option("comment", "#").schema("src STRING, dst STRING").csv(path)

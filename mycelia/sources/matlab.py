@@ -1,8 +1,8 @@
 """Sparse matrices of MATLAB level 5 files, as a Spark data source.
 
 The file is read through Spark's binaryFile source, so it can lie in any store
-that Spark reads. One executor unpacks a matrix and sends on its entries in
-blocks. Level 5 files hold at most 2 GB of a variable; version 7.3 files are
+that Spark reads. One executor unpacks a matrix, as a file is one compressed
+stream, and sends on its entries in blocks; its size needs the head only. Level 5 files hold at most 2 GB of a variable; version 7.3 files are
 HDF5 and are refused.
 """
 
@@ -16,10 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import files
+
 #: Numbers of the format: data types, and classes of arrays.
 TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
 MATRIX, COMPRESSED = 14, 15
 STRUCT, SPARSE = 2, 5
+#: Entries of a file that is written: 16 bytes each here, 12 in the file.
+MAX_ENTRIES = 20_000_000
 
 
 class Elements:
@@ -61,8 +65,8 @@ def _fields(rest: Elements) -> dict[str, memoryview]:
     return {key: rest.next()[1] for key in keys}
 
 
-def sparse_entries(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows of the matrix, and each entry's row and column: of field A of a struct Problem, or else of the first sparse variable."""
+def sparse_matrix(data: bytes) -> tuple[int, Elements]:
+    """Rows, and what is behind the head, of field A of a struct Problem, or else of the first sparse variable."""
     if data[:8] == b"\x89HDF\r\n\x1a\n" or data[124:126] in (b"\x00\x02", b"\x02\x00"):
         raise ValueError("version 7.3 files (HDF5) can't be read")
     if len(data) < 128 or data[126:128] not in (b"IM", b"MI"):
@@ -87,23 +91,28 @@ def sparse_entries(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
             first = dims, rest
     if first is None:
         raise ValueError("no sparse matrix found")
-    dims, rest = first
+    return int(first[0][0]), first[1]
+
+
+def sparse_entries(data: bytes, step: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each entry's row and column, some at a time."""
+    _, rest = sparse_matrix(data)
     rows, starts = rest.numbers(), rest.numbers().astype(np.int64)
-    columns = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    return int(dims[0]), rows[: len(columns)].astype(np.int64), columns
+    for k in range(0, int(starts[-1]) if len(starts) else 0, step):
+        some = rows[k : min(k + step, int(starts[-1]))].astype(np.int64)
+        yield some, np.searchsorted(starts, np.arange(k, k + len(some)), "right") - 1
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column(0):
-            _, src, dst = sparse_entries(raw.as_py())
-            for k in range(0, len(src), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(src[k : k + 500_000]), pa.array(dst[k : k + 500_000])], ["src", "dst"])
+            for src, dst in sparse_entries(raw.as_py()):
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([sparse_entries(raw.as_py())[0] for raw in batch.column(0)], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([sparse_matrix(raw.as_py())[0] for raw in batch.column(0)], pa.int64())], ["n"])
 
 
 def read_mat(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -112,7 +121,7 @@ def read_mat(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return content.mapInArrow(_entries, "src long, dst long"), int(content.mapInArrow(_sizes, "n long").first()[0])
 
 
-def write_mat(path: str, n: int, m: int, src: np.ndarray, dst: np.ndarray, nested: bool = True, compressed: bool = True) -> None:
+def mat_bytes(n: int, m: int, src: np.ndarray, dst: np.ndarray, nested: bool = True, compressed: bool = True) -> bytes:
     """A level 5 file with one sparse matrix of ones, as Problem.A or as A."""
 
     def element(kind: int, body: bytes) -> bytes:
@@ -131,5 +140,17 @@ def write_mat(path: str, n: int, m: int, src: np.ndarray, dst: np.ndarray, neste
     if compressed:
         packed = zlib.compress(whole)
         whole = struct.pack("<II", COMPRESSED, len(packed)) + packed
+    return b"MATLAB 5.0 MAT-file".ljust(124) + b"\x00\x01IM" + whole
+
+
+def save_mat(edges: DataFrame, path: str, n: int) -> None:
+    """Write (src, dst) as a level 5 file of an n x n matrix, in any store that Spark reaches. The format ends at 2 GB, so the entries fit the driver; more are refused."""
+    if edges.count() > MAX_ENTRIES:
+        raise ValueError(f"a level 5 file can't hold more than {MAX_ENTRIES} entries")
+    pairs = edges.select("src", "dst").toPandas()
+    files.write_bytes(edges.sparkSession, path, mat_bytes(n, n, pairs["src"].to_numpy(), pairs["dst"].to_numpy()))
+
+
+def write_mat(path: str, *args, **kwargs) -> None:
     with open(path, "wb") as f:
-        f.write(b"MATLAB 5.0 MAT-file".ljust(124) + b"\x00\x01IM" + whole)
+        f.write(mat_bytes(*args, **kwargs))

@@ -9,10 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 CELLS = "row BIGINT, position INT, name STRING, cell STRING"
 
 
@@ -42,21 +43,16 @@ def wide(cells: DataFrame, names: list[str]) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """All cells as text; short lines are padded and longer ones cut."""
-    with open(path, encoding="utf-8") as f:
-        header = f.readline().rstrip("\r\n").split(",")
+    first = spark.read.text(path).first()
+    header = (first[0] if first else "").rstrip("\r").split(",")
     schema = ", ".join(f"`{name}` STRING" for name in header)
     return spark.read.option("header", True).option("enforceSchema", True).option("quote", "").schema(schema).csv(path).na.fill("")
 
 
-def append_column(path: str, name: str, values: list[float]) -> None:
-    """Add a column of run times to the file, or rows to a column that it has. The file is replaced as a whole."""
-    ensure_folder(os.path.dirname(path))
-    rows: list[list[str]] = []
-    header: list[str] = []
-    if os.path.exists(path) and os.path.getsize(path):
-        with open(path, encoding="utf-8") as f:
-            header, *rows = [line.rstrip("\r\n").split(",") for line in f]
-        rows = [(r + [""] * len(header))[: len(header)] for r in rows]
+def appended(text: str, name: str, values: list[float]) -> str:
+    """The file's text with a column of run times added, or with rows in a column that it has."""
+    header, *rows = [line.rstrip("\r").split(",") for line in text.splitlines()] or [[]]
+    rows = [(r + [""] * len(header))[: len(header)] for r in rows]
     known = name in header
     if not known:
         header.append(name)
@@ -65,17 +61,25 @@ def append_column(path: str, name: str, values: list[float]) -> None:
     rows += [[""] * len(header) for _ in range(first + len(values) - len(rows))]
     for k, v in enumerate(values):
         rows[first + k][header.index(name)] = f"{v:.6f}"
+    return "".join(",".join(r) + "\n" for r in [header, *rows])
+
+
+def append_column(path: str, name: str, values: list[float], spark: SparkSession | None = None) -> None:
+    """Add run times to a file, which is replaced as a whole. With a session, the file can be in any store that Spark reaches."""
+    if spark is not None:
+        text = files.read_text(spark, path) if files.exists(spark, path) else ""
+        files.write_bytes(spark, path, appended(text, name, values).encode())
+        return
+    ensure_folder(os.path.dirname(path))
+    text = ""
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
     with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=os.path.dirname(path) or ".", delete=False) as f:
-        f.writelines(",".join(r) + "\n" for r in [header, *rows])
+        f.write(appended(text, name, values))
     os.replace(f.name, path)
 
 
 def ensure_folder(path: str) -> None:
     if path:
         os.makedirs(path.rstrip("/") or "/", mode=0o755, exist_ok=True)
-
-
-def published(times: pd.DataFrame) -> pd.DataFrame:
-    """Long times (chunk, exchange, run, seconds) as one column per configuration."""
-    named = times.assign(name=[f"chunk_{c}_exchange_{e}" for c, e in zip(times["chunk"], times["exchange"], strict=True)])
-    return named.pivot(index="run", columns="name", values="seconds")

@@ -5,7 +5,7 @@ from mycelia.functions.paths import result_path_of, stem_of
 from mycelia.functions.ranges import parse_ranges
 from mycelia.sources import results as R
 from mycelia.sources.edges import load_edges
-from mycelia.sources.matlab import sparse_entries, write_mat
+from mycelia.sources.matlab import save_mat, sparse_entries, sparse_matrix, write_mat
 
 ENTRIES = {(0, 1), (1, 0), (2, 2), (1, 3), (3, 1)}
 
@@ -25,11 +25,26 @@ def test_mat(spark, tmp_path, nested, compressed):
 
 def test_mat_refused(tmp_path):
     with pytest.raises(ValueError, match="7.3"):
-        sparse_entries(b"\x89HDF\r\n\x1a\n" + b"\0" * 200)
+        sparse_matrix(b"\x89HDF\r\n\x1a\n" + b"\0" * 200)
     with pytest.raises(ValueError, match="level 5"):
-        sparse_entries(b"nothing")
+        sparse_matrix(b"nothing")
     with pytest.raises(ValueError, match="no sparse"):
-        sparse_entries(b"MATLAB".ljust(124) + b"\x00\x01IM")
+        sparse_matrix(b"MATLAB".ljust(124) + b"\x00\x01IM")
+
+
+def test_entries_come_in_blocks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(0)
+    src, dst = rng.integers(0, 50, 300), rng.integers(0, 50, 300)
+    write_mat(path := str(tmp_path / "b.mat"), 50, 50, src, dst)
+    with open(path, "rb") as f:
+        blocks = list(sparse_entries(f.read(), 7))
+    assert len(blocks) == 43 and sorted((int(a), int(b)) for x, y in blocks for a, b in zip(x, y, strict=True)) == sorted(zip(src.tolist(), dst.tolist(), strict=True))
+    edges = spark.createDataFrame([(0, 1), (3, 2)], "src long, dst long")
+    save_mat(edges, path, 4)
+    assert pairs(load_edges(spark, path, symmetric=False)[0]) == {(0, 1), (3, 2)}
+    monkeypatch.setattr("mycelia.sources.matlab.MAX_ENTRIES", 1)
+    with pytest.raises(ValueError, match="entries"):
+        save_mat(edges, path, 4)
 
 
 def test_wide_matrix_keeps_square_part(spark, tmp_path):
@@ -67,6 +82,41 @@ def test_append_columns(spark, tmp_path):
     assert [tuple(r)[1:] for r in R.wide(cells, ["a", "b"]).orderBy("row").collect()] == [("1.000000", "3.000000"), ("2.000000", ""), ("4.000000", "")]
 
 
+def test_append_in_any_store(spark, tmp_path):
+    path = f"file://{tmp_path}/r.csv"
+    for name, values in (("a", [1, 2]), ("b", [3]), ("a", [4])):
+        R.append_column(path, name, values, spark)
+    assert (tmp_path / "r.csv").read_text() == "a,b\n1.000000,3.000000\n2.000000,\n4.000000,\n"
+
+
+def test_release(spark):
+    from mycelia import session
+
+    session.release(spark)
+    paths = [session.scratch(spark, "x") for _ in range(3)]
+    spark.range(3).write.parquet(paths[0])
+    assert session.release(spark) == 3 and session.release(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(paths[0])
+
+
+def test_no_local_checkpoints_on_a_cluster():
+    from mycelia import session
+
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="share"):
+        session.checkpoint_dir(Session)
+
+
 def test_paths():
     assert [stem_of(p) for p in ("a/b.mat", ".x", "", "d/", "x.tar.mtx")] == ["b", ".x", "graph", "graph", "x.tar"]
     assert result_path_of("", "p", "g.mat") == "p_g.csv" and result_path_of("r/", "p", "g.mat") == "r/p_g.csv"
