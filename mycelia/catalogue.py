@@ -12,8 +12,10 @@ from mycelia.operators import halo as H
 from mycelia.operators import normalize as N
 from mycelia.operators import partition as P
 from mycelia.plans.staged import bounds_of, staged_components
-from mycelia.session import checkpoint_dir
-from mycelia.sources.results import CELLS, placed, wide
+from mycelia.session import checkpoint_dir, scratch
+from mycelia.sources import edges as E
+from mycelia.sources.matlab import save_mat
+from mycelia.sources.results import CELLS, append_column, placed, read_results, wide
 from mycelia.sources.views import VIEWS, VIEWS_SQL
 
 PARTS = 4
@@ -39,6 +41,7 @@ def graph(spark: SparkSession, sf_dir: str, view: str) -> tuple[DataFrame, DataF
 
 def cut(spark: SparkSession, sf_dir: str, view: str) -> H.Halo:
     vertices, edges = graph(spark, sf_dir, view)
+    edges = edges.checkpoint()  # read for the bounds, for the parts' own edges and for the boundary
     return H.Halo(edges, vertices, bounds_of(edges, vertices, PARTS))
 
 
@@ -52,7 +55,7 @@ def with_views(view: str, body: str) -> str:
 _PARTS = f""", deg AS (SELECT v.id, count(s.src) AS degree FROM v LEFT JOIN s ON s.src = v.id GROUP BY v.id),
 pre AS (SELECT id, degree, coalesce(sum(degree + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre, sum(degree + 1) OVER () AS w FROM deg),
 p AS (SELECT id, degree, CAST({" + ".join(f"(CASE WHEN pre >= (w * {r}) // {PARTS} THEN 1 ELSE 0 END)" for r in range(1, PARTS))} AS INTEGER) AS part FROM pre)"""
-_CUT = """, e AS (SELECT a.part, b.part AS peer, s.src, s.dst FROM s JOIN p a ON a.id = s.src JOIN p b ON b.id = s.dst)"""
+_CUT = """, e AS MATERIALIZED (SELECT a.part, b.part AS peer, s.src, s.dst FROM s JOIN p a ON a.id = s.src JOIN p b ON b.id = s.dst)"""
 
 
 def _components_sql(edges: str, name: str = "cc") -> str:
@@ -173,11 +176,7 @@ for _view in ("g4", "g7"):
 
 @query("boundary_sorted", with_views("g7", _BOUNDARY + " SELECT part, rep, remote, row_number() OVER (PARTITION BY part ORDER BY remote, rep) - 1 AS place FROM b"))
 def boundary_sorted(spark, sf_dir):
-    """Boundary edges of a part in the order of remote, then rep."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("part").orderBy("remote", "rep")) - 1
-    return cut(spark, sf_dir, "g7").boundary().withColumn("place", place.cast("long"))
+    return cut(spark, sf_dir, "g7").sorted_boundary()
 
 
 @query("ghosts", with_views("g7", _GHOSTS + " SELECT part, row_number() OVER (PARTITION BY part ORDER BY vertex) - 1 AS gidx, vertex FROM gh"))
@@ -297,7 +296,7 @@ for _view in VIEWS:
     query(f"cc_count_{_view}", _all + " SELECT count(*) AS n_components FROM cc WHERE id = component")(lambda spark, sf_dir, view=_view: C.component_count(_labels()(spark, sf_dir, view)))
 for _view in ("g3", "g6"):
     query(f"cc_sizes_{_view}", with_views(_view, _components_sql("s")) + " SELECT component, count(*) AS n FROM cc GROUP BY component")(lambda spark, sf_dir, view=_view: C.component_sizes(_labels()(spark, sf_dir, view)))
-for _method, _view in (("stars", "g2"), ("labels", "g6")):
+for _method, _view in (("stars", "g2"), ("labels", "g6"), ("frontier", "g2")):
     query(f"cc_by_{_method}_{_view}", with_views(_view, _components_sql("s")) + " SELECT id, component FROM cc")(lambda spark, sf_dir, view=_view, method=_method: _labels(method)(spark, sf_dir, view))
 
 
@@ -310,7 +309,14 @@ def cc_count_distinct(spark, sf_dir):
 @query("cc_staged_halo", with_views("g7", _components_sql("s")) + " SELECT id, component FROM cc")
 def cc_staged_halo(spark, sf_dir):
     vertices, edges = graph(spark, sf_dir, "g7")
-    return staged_components(edges, vertices, PARTS, exchange_interval=2)
+    return staged_components(edges.checkpoint(), vertices, PARTS, exchange_interval=2)
+
+
+@query("cc_staged_by_vertices", with_views("g6", _components_sql("s")) + " SELECT id, component FROM cc")
+def cc_staged_by_vertices(spark, sf_dir):
+    """Other parts, other intervals: ranges by vertices, an exchange every round."""
+    vertices, edges = graph(spark, sf_dir, "g6")
+    return staged_components(edges.checkpoint(), vertices, 3, exchange_interval=1, by_edges=False)
 
 
 SPECS = ("8,1:5:2, 3", "1,4,8", "2:6", "2048", "10:1", "1::2", "7,,7")
@@ -345,6 +351,38 @@ def results_wide(spark, sf_dir):
     return wide(spark.createDataFrame(cells, CELLS), list(dict.fromkeys(name for name, _ in APPENDS)))
 
 
+@query("results_file", "SELECT * FROM (VALUES ('1.000000', '3.000000', '0.500000'), ('2.000000', '', '0.250000'), ('4.000000', '', '0.333333'), ('', '', '7.000000')) t(a, b, c)")
+def results_file(spark, sf_dir):
+    """The same in a real file, column by column, read back."""
+    path = scratch(spark, "results") + "/times.csv"
+    for name, values in APPENDS:
+        append_column(path, name, values, spark)
+    return read_results(spark, path)
+
+
+def _written(kind: str):
+    """A view's edges, one direction, written as a file of that kind and loaded again as a stored graph."""
+
+    def run(spark, sf_dir):
+        vertices, edges = VIEWS["g2"](spark, sf_dir)
+        path = f"{scratch(spark, 'edges')}/graph.{kind}"
+        if kind == "mat":
+            save_mat(edges, path, vertices.count())
+        elif kind == "mtx":
+            E.write_matrix_market(edges, path, vertices.count())
+        elif kind == "parquet":
+            edges.write.parquet(path)
+        else:
+            edges.write.option("sep", "," if kind == "csv" else "\t").csv(path)
+        return E.load_edges(spark, path)[0]
+
+    return run
+
+
+for _kind in ("csv", "tsv", "parquet", "mtx", "mat"):
+    query(f"source_{_kind}", with_views("g2", " SELECT src, dst FROM s"))(_written(_kind))
+
+
 PATHS = ("data/com-graph.mat", "x.tar.mtx", ".hidden", "dir/.cfg.mat", "noext", "dir/", "", "/a/b.c/d.MAT")
 
 

@@ -57,7 +57,3 @@ def range_values(spec: Column) -> Column:
 
 def config_name(chunk: Column, exchange: Column) -> Column:
     return F.format_string("chunk_%d_exchange_%d", chunk, exchange)
-
-
-def seconds_text(x: Column) -> Column:
-    return F.format_string("%.6f", x)

@@ -1,6 +1,6 @@
 """Connected components: every vertex gets the smallest id of its component.
 
-Three ways, with the same labels:
+Four ways, with the same labels:
 
 contract  Each task reduces its edges to a spanning forest (union-find on
           numpy arrays), so at most one edge per vertex and task is left.
@@ -11,6 +11,9 @@ stars     Large-star and small-star rounds (Kiveris et al., "Connected
           join each. The number of rounds is logarithmic in practice.
 labels    Smallest label of the neighbours and pointer jumping, of changed
           vertices only.
+frontier  The same without jumps: a breadth-first search from all vertices at
+          once, in which the smallest one wins. A round for each step of the
+          longest shortest path.
 
 Edges are undirected; direction, duplicates and loops don't matter. Each
 round is written to the shared checkpoint folder, so a lost executor costs
@@ -155,11 +158,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, me
         if not closed:
             vertices = vertices.distinct()
             edges = inside(edges, vertices)
-    if method == "labels":
+    if method in ("labels", "frontier"):
         every = vertices if vertices is not None else _both(edges).select(F.col("src").alias("id")).distinct()
-        return min_labels(every, edges)
+        return min_labels(every, edges, 4 if method == "labels" else 0)
     if method not in ("contract", "stars"):
-        raise ValueError(f"method must be contract, stars or labels, not {method!r}")
+        raise ValueError(f"method must be contract, stars, labels or frontier, not {method!r}")
     if method == "contract":
         reduced = contract(edges.filter("src <> dst")).checkpoint()
         found = one_task(reduced) if reduced.count() <= one_task_edges else stars(reduced, one_task_edges)

@@ -11,17 +11,14 @@ Vertex ids are global everywhere; gidx and pos only number rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .normalize import numbered
 from .partition import with_owner
 
 
-def _numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
-    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))
-
-
 class Halo:
     """Tables of a stored graph (symmetric, distinct) cut at `bounds`."""
 
@@ -44,6 +41,10 @@ class Halo:
     def local_reps(self) -> DataFrame:
         return self.local_cc().groupBy("part").agg(F.countDistinct("rep").alias("n_reps"))
 
+    def sorted_boundary(self) -> DataFrame:
+        """(part, rep, remote, place): a part's boundary in the order of remote, then rep."""
+        return numbered(self.boundary(), ["part"], ["remote", "rep"], "place").select("part", "rep", "remote", "place")
+
     def boundary(self, local: DataFrame | None = None) -> DataFrame:
         """(part, rep, remote), each once."""
         reps = (self.local_cc() if local is None else local).select(F.col("id").alias("src"), "rep")
@@ -52,12 +53,13 @@ class Halo:
     def ghosts(self) -> DataFrame:
         """(part, gidx, vertex): vertices of other parts that a part's edges reach."""
         reached = self.boundary_raw().select("part", F.col("dst").alias("vertex")).distinct()
-        return _numbered(reached, ["part"], "vertex", "gidx").select("part", "gidx", "vertex")
+        return numbered(reached, ["part"], ["vertex"], "gidx").select("part", "gidx", "vertex")
 
     def need_from(self) -> DataFrame:
         """(part, peer, pos, vertex): ghosts of a part that a peer owns."""
-        owned = with_owner(self.ghosts(), "vertex", self.bounds, "peer")
-        return _numbered(owned, ["part", "peer"], "vertex", "pos").select("part", "peer", "pos", "vertex")
+        reached = self.boundary_raw().select("part", F.col("dst").alias("vertex")).distinct()
+        owned = with_owner(reached, "vertex", self.bounds, "peer")
+        return numbered(owned, ["part", "peer"], ["vertex"], "pos").select("part", "peer", "pos", "vertex")
 
     def send_to(self) -> DataFrame:
         """What each part's peers need from it."""

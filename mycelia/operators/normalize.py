@@ -57,6 +57,20 @@ def neighbour_lists(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"), F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers the rows of each group from 0 in ascending order, without bringing a group into one task.
+
+    For a few groups: one row for each group and task that has it is broadcast.
+    Rows that are equal in group and order may get any of their numbers.
+    """
+    ordered = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__place", F.monotonically_increasing_id()).checkpoint()
+    task = F.shiftright("__place", 33)
+    runs = ordered.groupBy(*by, task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    before = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = runs.select(*by, "__task", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__base"))
+    return ordered.withColumn("__task", task).join(F.broadcast(bases), [*by, "__task"]).withColumn(name, (F.col("__base") + F.col("__place")).cast("long")).drop("__task", "__place", "__base")
+
+
 def dense_ids(rows: DataFrame, *keys: str, name: str = "id") -> DataFrame:
     """Numbers rows from 0 in ascending order of keys, without bringing them into one task."""
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()).checkpoint()

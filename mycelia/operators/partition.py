@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mycelia import schema
-
 from .normalize import degrees, running_total
 
 
@@ -26,7 +24,7 @@ def vertex_part(v: Column, n: int, parts: int) -> Column:
 
 def weights_before(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, degree, pre): pre is the total weight, degree + 1 each, of all smaller vertices."""
-    return running_total(degrees(edges, vertices), F.col("degree") + 1, "pre")
+    return running_total(degrees(edges, vertices).checkpoint(), F.col("degree") + 1, "pre")
 
 
 def edge_bounds(before: DataFrame, parts: int) -> list[int]:
@@ -69,7 +67,7 @@ def _clamped(before: DataFrame, goals: list[int], n: int, weight: int, first: Co
 
 
 def bounds_table(spark: SparkSession, bounds: list[int]) -> DataFrame:
-    return spark.createDataFrame([(r, a, b) for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))], schema.BOUNDS)
+    return spark.createDataFrame([(r, a, b) for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))], "part INT, v_start BIGINT, v_end BIGINT")
 
 
 #: Up to so many parts a vertex's part is an expression; beyond, it is a join with the bounds.

@@ -12,7 +12,7 @@ from mycelia.session import checkpoint_dir
 
 def bounds_of(edges: DataFrame, vertices: DataFrame, parts: int, by_edges: bool = True) -> list[int]:
     """Bounds of a stored graph over vertices 0..n-1."""
-    return edge_bounds(weights_before(edges, vertices), parts) if by_edges and parts > 1 else vertex_bounds(vertices.count(), parts)
+    return edge_bounds(weights_before(edges, vertices).checkpoint(), parts) if by_edges and parts > 1 else vertex_bounds(vertices.count(), parts)
 
 
 def staged_components(edges: DataFrame, vertices: DataFrame, parts: int = 4, exchange_interval: int = 1, by_edges: bool = True) -> DataFrame:

@@ -80,3 +80,17 @@ def test_bounds_of_view_g7(spark):
 
     vertices, edges = graph(spark, "/root/testdata/sf0.01", "g7")
     assert bounds_of(edges, vertices, 4) == [0, 2525, 5000, 7475, 10000]
+
+
+def test_numbered(spark):
+    """Groups of any size are numbered over several tasks."""
+    from mycelia.operators.normalize import numbered
+
+    rows = [(0, k) for k in range(900)] + [(k, 5) for k in range(1, 40)] + [(50, k) for k in range(7)]
+    df = spark.createDataFrame(rows, "part int, v int").repartition(6)
+    got = {(r["part"], r["v"]): r["pos"] for r in numbered(df, ["part"], ["v"], "pos").collect()}
+    by: dict = {}
+    for p, v in sorted(rows):
+        by.setdefault(p, []).append(v)
+    assert got == {(p, v): k for p, vs in by.items() for k, v in enumerate(vs)}
+    assert numbered(df.limit(0), ["part"], ["v"], "pos").count() == 0
