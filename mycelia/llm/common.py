@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mycelia.session import checkpoint_dir
+from mycelia.session import checkpoint_dir, remove, scratch
+
+__all__ = ["checkpoint_dir", "remove", "scratch"]
 
 #: A set of keys of up to this many rows (some 100 bytes each) is broadcast.
 BROADCAST_ROWS = 200_000
@@ -53,18 +54,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    return f"{checkpoint_dir(spark)}/mycelia-{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body`.
 
@@ -108,6 +97,7 @@ def without_rows(df: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> Dat
     Up to BROADCAST_ROWS rows of gone are broadcast, after they are counted.
     With more, only rows of df that a filter lets pass are shuffled.
     """
+    checkpoint_dir(df.sparkSession)
     names = {c: f"__key_{c}" for c in keys}
     gone = gone.select(*[F.col(c).alias(f"__gone_{c}") for c in keys]).distinct().checkpoint()
     n = gone.count()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, resting
+from .common import checkpoint_dir, documents, in_batches, resting
 from .token_orc import lists
 from .tokens import batches, encoder, tokenizer_path
 
@@ -241,6 +241,7 @@ def _packed(capacity: int):
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """pieces: doc_id, piece, start, length, ids_crc32, computed once and kept in a checkpoint. Adds sequence_id and offset."""
+    checkpoint_dir(pieces.sparkSession)
     pieces = pieces.checkpoint()
     groups = -(-pieces.count() // group) or 1
     # a piece that fills a bin needs no search, but is a group's row like any other

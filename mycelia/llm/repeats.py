@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, in_batches, resting, scratch
+from .common import BROADCAST_ROWS, checkpoint_dir, documents, in_batches, resting, scratch
 from .tokens import batches
 
 LENGTH, K = 200, 40
@@ -383,6 +383,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str
     if not 0 < k <= length:
         raise ValueError("k must be from 1 to length")
     spark = docs.sparkSession
+    checkpoint_dir(spark)
     texts = in_batches(_texts(docs, id_col, text_col)).filter(F.octet_length("text") >= length)
     anchors = texts.mapInArrow(_anchor_hashes(length, k), "h long, n int")
     repeated = anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h").checkpoint()

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from mycelia.operators.components import connected_components, forest
 
-from .common import documents, in_batches, resting, without_rows
+from .common import checkpoint_dir, documents, in_batches, resting, without_rows
 from .tokens import batches
 
 RADIUS, SHINGLE = 3, 3
@@ -212,6 +212,7 @@ def _deeper(nodes: DataFrame, depth: int, radius: int) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET, digest: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), component_id, root (a fingerprint that stands for the component) and, if asked for, digest."""
+    checkpoint_dir(docs.sparkSession)
     rows = with_fingerprints(docs, id_col, text_col, digest).checkpoint()
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
     # written before they are contracted: a task with both steps would need two Python workers
