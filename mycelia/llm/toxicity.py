@@ -7,12 +7,14 @@ hashed first bytes, by which words of one stem know each other. A word of more t
 still longer into overlapping runs of at most 24 bytes; each of these parts is
 an input of its own, so that texts without spaces are read whole. The network
 reads windows of 32 inputs that overlap by 8; attention pools the states of both
-directions. A text's score is that of its highest window, and all of its
-windows are scored.
+directions. All windows of a text are scored; the text's score comes from its
+highest ones, as several weak signs say more than one, less the logarithm of
+their number, as among many windows a high one is more likely by chance.
 
 It is trained in numpy on a bounded sample of labelled texts: in each round a
 text is represented by the window that scores highest so far, since a label
-says only that some window is toxic, and by another one.
+says only that some window is toxic, and by another one. At the end the
+threshold is put between the sample's clean and toxic texts.
 
 Defined results. Null or empty texts are one window of padding and get its
 score. A null id counts as an empty string for the split into folds. Labels
@@ -54,6 +56,10 @@ FREQUENT, FREQUENT_SHARE = 12, 0.01
 #: Share of words that are hidden from the network in training.
 HIDE = 0.2
 THRESHOLD = 0.7
+#: What a text's highest windows count for, in logits, and what a window that isn't there has.
+POOL, ABSENT = (1.0, 0.5, 0.3), -7.0
+#: Where the threshold is between the clean and the toxic texts of the sample; texts that training hasn't seen lie closer together.
+LEVEL = 0.4
 #: Different words whose inputs a worker keeps.
 CACHE_WORDS = 120_000
 #: Bytes of text scored at once.
@@ -120,6 +126,7 @@ class Net:
         for side in "fb":
             self.p |= {f"w{side}": draw(d, 3 * h, scale=d**-0.5), f"u{side}": draw(h, 3 * h, scale=h**-0.5), f"c{side}": np.zeros(3 * h, np.float32)}
         self.prior = 0.0
+        self.level = 0.0  # logit of a text at the threshold
 
     def parts(self, word: str) -> list[tuple[int, str]]:
         """Inputs of a normal form: row and part. A long word with a row of its own has it in all its parts."""
@@ -232,8 +239,17 @@ def cut(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(live, begin[own][:, None] + place, 0), live, counts
 
 
-def train(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 8, batch: int = 64, seed: int = 0) -> Net:
-    """share: of toxic texts where the sample comes from, if the sample has another; scores are calibrated to it."""
+def pooled(windows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Logits of texts from the probabilities of their windows, which follow each other."""
+    logits = np.log(np.clip(windows, 1e-5, 1 - 1e-5).astype(np.float64))
+    logits -= np.log1p(-np.exp(logits))
+    own = np.repeat(np.arange(len(counts)), counts)
+    ordered = np.append(logits[np.lexsort((-logits, own))], ABSENT)
+    first = np.cumsum(counts) - counts
+    return sum(w * ordered[np.where(k < counts, first + k, -1)] for k, w in enumerate(POOL)) - np.log(counts)
+
+
+def train(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 64, seed: int = 0) -> Net:
     words = [[normal(w) for w in t.split()] for t in texts]
     # parts of long words count as words, and so does a long word as a whole
     seen = Counter(w for ws in words for w in {x for v in set(ws) for x in (v, *map(normal, subwords(v)))} if w)
@@ -282,8 +298,11 @@ def train(texts: list[str], labels: list[int], share: float | None = None, round
             np.add.at(g["stem"], stem[kinds], d_kind[:, WORD + CHAR :])
             np.add.at(g["char"], grams[kinds], d_kind[:, None, WORD : WORD + CHAR] / n[:, None, None] * used[kinds][:, :, None])
             best.step(g)
-    if share is not None and 0 < share < 1:
-        net.p["bias"][0] += np.log(share / (1 - share)) - np.log(net.prior / (1 - net.prior))
+    x = net.embed(row, grams, used, stem)
+    table = np.concatenate([x @ net.p[f"w{side}"] + net.p[f"c{side}"] for side in "fb"], axis=1)
+    said = pooled(net.score_windows(table, ids, live), counts)
+    clean, toxic = np.quantile(said[y == 0], 0.999), np.quantile(said[y == 1], 0.01)
+    net.level = float(clean + LEVEL * (toxic - clean))
     return net
 
 
@@ -352,7 +371,7 @@ class Scorer:
             flat, lengths = self._expand(flat, lengths)
         place, live, counts = cut(lengths)
         windows = self.net.score_windows(self.table, flat[place], live)
-        return np.maximum.reduceat(windows, np.cumsum(counts) - counts).astype(np.float64)
+        return 1 / (1 + np.exp(self.net.level - pooled(windows, counts) - np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
 def _score(net: Net):
@@ -389,7 +408,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1) -> Net:
-    return train(*sample(docs, labels.filter(fold(id_col, folds) != held_fold), id_col, text_col, label_col))
+    texts, marks, share = sample(docs, labels.filter(fold(id_col, folds) != held_fold), id_col, text_col, label_col)
+    net = train(texts, marks)
+    if not 0 < net.prior < 1:
+        net.prior = share
+    return net
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_fold: int = 1, threshold: float = THRESHOLD) -> DataFrame:

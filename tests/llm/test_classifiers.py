@@ -79,11 +79,11 @@ def test_toxicity_on_held_out(spark):
     share = lambda label, *langs: np.mean([r["predicted"] for r in held if r["toxic"] == label and (not langs or r["lang"] in langs)])
     # of every language, with nothing left out; the README has the figures
     print({lang: (round(share(1, lang), 2), round(share(0, lang), 3)) for lang in ("en", "de", "es", "fr")}, round(share(1), 3), round(share(0), 4))
-    assert share(0) < 0.03 and share(1) > 0.7 and share(1, "en") > 0.85 and share(1, "de", "es", "fr") > 0.5
+    assert share(0) < 0.03 and share(1) > 0.75 and share(1, "en") > 0.85 and share(1, "de", "es", "fr") > 0.55
 
 
 def naive_toxicity(net, text):
-    """Each window by itself, each step of the recurrence written out; the highest window counts."""
+    """Each window by itself, each step of the recurrence written out; the highest windows count."""
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
     p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, T.HIDDEN
     xs = []
@@ -93,7 +93,7 @@ def naive_toxicity(net, text):
             grams = [(raw[k] * 7919 + raw[k + 1] * 104729 + raw[k + 2] * 1299709) % T.TRIGRAMS for k in range(len(raw) - 2)]
             stem = sum(c * (31337**k % 1_000_003) for k, c in enumerate(raw[1 : 1 + T.STEM_BYTES])) % T.STEMS
             xs.append(np.concatenate([p["word"][row], np.sum([p["char"][g] for g in grams], axis=0) / max(1, len(grams)), p["stem"][stem]]))
-    best, at = 0.0, 0
+    logits, at = [], 0
     while True:
         own = xs[at : at + T.WINDOW]
         states = [np.zeros(2 * h) for _ in own]
@@ -106,10 +106,12 @@ def naive_toxicity(net, text):
                 states[t][h * (side == "b") : h * (side == "b") + h] = state
         weights = [np.exp(np.tanh(s @ p["attend"]) @ p["query"]) for s in states]
         pooled = sum((w * s for w, s in zip(weights, states, strict=True)), np.zeros(2 * h)) / max(sum(weights), 1e-9)
-        best = max(best, float(sigmoid(pooled @ p["out"] + p["bias"][0])))
+        logits.append(float(pooled @ p["out"] + p["bias"][0]))
         at += T.STRIDE
         if at >= len(xs) - (T.WINDOW - T.STRIDE):
-            return best
+            high = sorted((min(max(x, -np.log(1e5 - 1)), np.log(1e5 - 1)) for x in logits), reverse=True) + [T.ABSENT] * 3
+            total = high[0] + 0.5 * high[1] + 0.3 * high[2] - np.log(len(logits))
+            return sigmoid(total - net.level + np.log(0.7 / 0.3))
 
 
 def test_toxicity_brute_force():
@@ -118,7 +120,7 @@ def test_toxicity_brute_force():
     some = lambda n: " ".join(rng.choice(pool, n)) if n else ""
     net = T.train([some(20) for _ in range(40)], [k % 2 for k in range(40)])
     texts = ["", *[some(n) for n in (1, 5, 31, 32, 33, 100, 700)]]
-    assert np.allclose(T.Scorer(net).scores(texts), [naive_toxicity(net, t) for t in texts], atol=1e-4)
+    assert np.allclose(T.Scorer(net).scores(texts), [naive_toxicity(net, t) for t in texts], atol=1e-3)
 
 
 def naive_language(names, net, text):
