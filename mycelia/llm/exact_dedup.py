@@ -119,7 +119,7 @@ class MergeIndex:
 
     def entries(self, runs: list[int] | None = None) -> DataFrame:
         """Rows of the live runs, or of some of them: run (as live() has it), digest, keep_id, n. Folders without such runs aren't read."""
-        out = self.spark.createDataFrame([], "run long, digest string, keep_id long, n long")
+        out = self.spark.range(0).selectExpr("id AS run", "cast(id AS string) AS digest", "id AS keep_id", "id AS n")
         for level, own in enumerate(self.levels):
             for folder, lo, hi in own:
                 some = None if runs is None else [r - level * LEVEL for r in runs if lo <= r - level * LEVEL < hi]
